@@ -105,7 +105,15 @@ def token_counts(docs: DataFrame, *, tokenizer: str, limit: int = 1024, id_col:
     """
     spark, path = docs.sparkSession, tokenizer
     counted = materialise(vocabulary(docs, path, text_col), "pretokens")
-    top = counted.orderBy(F.desc("freq"), "pretoken").limit(COMMON).select("pretoken", "pieces").toPandas()
+    # a histogram of the frequencies' magnitudes tells from which one on COMMON pre-tokens are left
+    size = F.floor(F.log2("freq") * 16).cast("int")
+    held, least = 0, 1 << 30
+    for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():
+        held += r["n"]
+        if held > COMMON:
+            break
+        least = r["size"]
+    top = counted.where(size >= least).select("pretoken", "pieces").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(top["pretoken"], top["pieces"].astype(int), strict=True)))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
