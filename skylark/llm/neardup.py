@@ -135,46 +135,53 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInPandas(run, "rep long, tree int, " + ", ".join(f"k{s} long" for s in STEPS))
 
 
-def regions(prefixes: DataFrame) -> DataFrame:
-    """(tree, region, rep, deep): members of regions of two or more, each as deep as its size asks for.
+def regions(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree, region, side, rep, deep): members of regions of two or more, each as deep as its size asks for.
 
     The bits of deep are the trees in which the member's shortest prefix is too common for a region.
 
-    A region that is too large at the last step holds documents that agree in all of its hashes; it
-    is cut into runs of REGION in the order of ids, each with the last member of the run before it.
+    A region that is too large at the last step holds documents that agree in all of its hashes. The
+    first table cuts it into hashed runs of about REGION, others in each tree, each with the region's
+    first member: enough to find most links soon. The second table has it whole, as all pairs of its
+    runs; there members of the same side are not compared, and side is -1 where all pairs are.
     """
     left, done, too_common = prefixes, [], prefixes
+    whole = F.lit(-1).alias("side")
     for step in STEPS:
         key = f"k{step}"
         sizes = left.groupBy("tree", key).agg(F.count("*").alias("n")).where("n > 1")
-        sized = left.join(sizes, ["tree", key])
-        if step == STEPS[-1]:
-            small, large = sized.where(F.col("n") <= REGION), sized.where(F.col("n") > REGION)
-            done.append(small.select("tree", F.xxhash64(F.lit(step), key).alias("region"), "rep"))
-            run = F.floor(F.col("place") * F.col("n") / REGION)
-            # a hash spreads the members over n / REGION runs; the region's first member joins every run
-            placed = large.withColumn("place", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30))
-            runs = placed.select("tree", key, "rep", run.alias("run"))
-            heads = runs.groupBy("tree", key).agg(F.min("rep").alias("head"))
-            with_head = runs.select("tree", key, "run").distinct().join(heads, ["tree", key]).select("tree", key, F.col("head").alias("rep"), "run")
-            done.append(runs.unionByName(with_head).distinct().select("tree", F.xxhash64(F.lit(-1), key, "run").alias("region"), "rep"))
-        else:
-            sized = materialise(sized, "sized")
-            done.append(sized.where(F.col("n") <= REGION).select("tree", F.xxhash64(F.lit(step), key).alias("region"), "rep"))
-            left = sized.where(F.col("n") > REGION).drop("n")
+        sized = materialise(left.join(sizes, ["tree", key]), "sized")
+        done.append(sized.where(F.col("n") <= REGION).select("tree", F.xxhash64(F.lit(step), key).alias("region"), whole, "rep"))
+        left = sized.where(F.col("n") > REGION)
+        if step != STEPS[-1]:
+            left = left.drop("n")
             too_common = left if step == STEPS[0] else too_common
-    out = done[0]
+    small = done[0]
     for more in done[1:]:
-        out = out.unionByName(more)
-    deeper = too_common.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("deep"))
-    return out.join(deeper, "rep", "left").fillna(0, ["deep"])
-
-
-def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j), i < j, of all pairs within the runs of a sorted table, some at a time."""
-    for m in np.unique(sizes[sizes > 1]):
+        small = small.unionByName(more)
+    place = F.pmod(F.xxhash64("tree", "rep"), F.lit(1 << 30)) / float(1 << 30)
+    runs = left.select("tree", key, "rep", "n", F.floor(place * F.col("n") / REGION).cast("int").alias("run"))
+    heads = runs.groupBy("tree", key).agg(F.min("rep").alias("head"))
+    with_head = runs.select("tree", key, "run").distinct().join(heads, ["tree", key]).select("tree", key, F.col("head").alias("rep"), "run")
+    cut = runs.drop("n").unionByName(with_head).distinct().select("tree", F.xxhash64(F.lit(-1), key, "run").alias("region"), whole, "rep")
+    others = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / REGION).cast("int") - 1))
+    paired = runs.select("tree", key, "rep", "run", others.alias("other"))
+    side = F.when(F.col("run") == F.col("other"), -1).otherwise((F.col("run") > F.col("other")).cast("int"))
+    blocks = paired.select("tree", F.xxhash64(F.lit(-2), key, F.least("run", "other"), F.greatest("run", "other")).alias("region"), side.alias("side"), "rep")
+    deeper = materialise(too_common.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("deep")), "deeper")
+    small, cut, blocks = (x.join(deeper, "rep", "left").fillna(0, ["deep"]) for x in (small, cut, blocks))
+    small = materialise(small, "members")
+    return small.unionByName(materialise(cut, "members")), small.unionByName(materialise(blocks, "blocks"))
+
+
+def _all_pairs(starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all pairs within the runs of a sorted table, some at a time.
+
+    In a run with firsts, its first so many members are compared with its others only.
+    """
+    for m in np.unique(sizes[(sizes > 1) & (firsts == 0)]):
         i, j = np.triu_indices(int(m), 1)
-        at = starts[sizes == m]
+        at = starts[(sizes == m) & (firsts == 0)]
         step = max(1, 200_000 // len(i))
         for k in range(0, len(at), step):
             own = at[k : k + step, None]
@@ -183,6 +190,12 @@ def _all_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarr
             else:
                 for c in range(0, len(i), 200_000):
                     yield own[0] + i[c : c + 200_000], own[0] + j[c : c + 200_000]
+    for at, n, m in zip(starts[firsts > 0], sizes[firsts > 0], firsts[firsts > 0], strict=True):
+        j = np.arange(at + m, at + n)
+        step = max(1, 200_000 // max(1, len(j)))
+        for k in range(at, at + m, step):
+            i = np.arange(k, min(k + step, at + m))
+            yield np.repeat(i, len(j)), np.tile(j, len(i))
 
 
 def _links(pdf: pd.DataFrame, ratio: float, least: float, best_only: bool) -> pd.DataFrame:
@@ -200,13 +213,14 @@ def _links(pdf: pd.DataFrame, ratio: float, least: float, best_only: bool) -> pd
     new = np.concatenate([[True], (tree[1:] != tree[:-1]) | (pdf["region"].to_numpy()[1:] != pdf["region"].to_numpy()[:-1])])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(pdf)))
+    firsts = np.add.reduceat((pdf["side"].to_numpy() == 0).astype(np.int64), starts)
 
     def told_here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         shared = (heads[i] == heads[j]).all(2) & ((deep[i][:, None] >> np.arange(TREES)) & 1 == 0)
         return np.where(shared.any(1), shared.argmax(1), TREES) >= tree[i]
 
     found = []
-    for i, j in _all_pairs(starts, sizes):
+    for i, j in _all_pairs(starts, sizes, firsts):
         apart = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
         i, j = i[apart], j[apart]
         agree = (sig[i] == sig[j]).sum(1)
@@ -256,9 +270,9 @@ def candidates(members: DataFrame, reps: DataFrame, comps: DataFrame | None, rat
             yield _links(kept, ratio, least, best_only)
 
     extra = [] if best_only else ["fine"]
-    full = members.join(reps.select("rep", "n_shingles", "sig", *extra), "rep").select("tree", "region", "rep", "comp", "deep", "n_shingles", "sig", *extra)
+    full = members.join(reps.select("rep", "n_shingles", "sig", *extra), "rep").select("tree", "region", "side", "rep", "comp", "deep", "n_shingles", "sig", *extra)
     n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "tree", "region").sortWithinPartitions("tree", "region", "rep").mapInPandas(run, "a long, b long").distinct()
+    return full.repartition(n, "tree", "region").sortWithinPartitions("tree", "region", "side", "rep").mapInPandas(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -319,20 +333,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80, id_co
     has = sketched.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     reps = has.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = materialise(reps.mapInPandas(_narrow, "set_key binary, rep long, n_shingles long, sig32 binary, sig binary"), "reps")
-    members = materialise(regions(forest(reps.select("rep", F.col("sig32").alias("sig")))), "members")
+    members, blocks = regions(forest(reps.select("rep", F.col("sig32").alias("sig"))))
     reps = reps.drop("sig32").dropDuplicates(["rep"])
     # 3 standard deviations below the least similarity
     p = percent / 100
     least = p - 3 * (p * (1 - p) / (TREES * DEPTH)) ** 0.5
     first = materialise(candidates(members, reps, None, p, least, True), "candidates")
-    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
+    # of regions cut into runs, a member may be near to one of another run only
+    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).union(blocks.where("side >= 0").select("rep")).distinct()
     sets = materialise(full_sets(docs, reps.select("rep", "set_key").join(wanted, "rep"), words), "sets")
     seen, links = first, materialise(confirm(first, sets, percent), "links")
     comps = materialise(components(links), "components")
-    # all that is near anything has a best neighbour, so its set is among those read
+    # all else that is near anything has a best neighbour, so its set is among those read
     near = materialise(reps.join(sets.select("rep", "fine"), "rep"), "near")
     for best_only in (True, False):
-        more = materialise(candidates(members, near, comps, p, least, best_only).join(seen, ["a", "b"], "left_anti"), "candidates")
+        more = materialise(candidates(members if best_only else blocks, near, comps, p, least, best_only).join(seen, ["a", "b"], "left_anti"), "candidates")
         found = materialise(confirm(more, sets, percent), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
