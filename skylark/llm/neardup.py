@@ -291,14 +291,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their sets.
 
     Pairs that hang together travel together, so that a set is sent once for a family and not once
-    for a pair; a family of many pairs is cut into parts.
+    for a pair; a family of many pairs is cut into parts of about GROUP_LINKS by a hash of both ends,
+    so that a part has 2 * GROUP_LINKS sets or so, however many pairs one document is in.
     """
     pairs = materialise(pairs, "pairs")
     family = components(pairs)
-    pairs = pairs.join(family.withColumnRenamed("node", "a"), "a")
-    sizes = pairs.groupBy("root").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP_LINKS))
-    pairs = materialise(pairs.join(sizes, "root").select("a", "b", F.xxhash64("root", part).alias("g")), "pairs")
+    pairs = materialise(pairs.join(family.withColumnRenamed("node", "a"), "a"), "pairs")
+    # at most one in GROUP_LINKS pairs has a row here, so no family has to meet in one task
+    large = F.broadcast(pairs.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LINKS))
+    part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.coalesce("n", F.lit(1)) / GROUP_LINKS))
+    pairs = materialise(pairs.join(large, "root", "left").select("a", "b", F.xxhash64("root", part).alias("g")), "pairs")
     needs = pairs.select(F.col("g").alias("of"), F.col("a").alias("rep")).union(pairs.select("g", "b")).distinct().join(sets.select("rep", "shingles"), "rep")
 
     def run(links: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

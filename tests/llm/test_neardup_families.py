@@ -28,3 +28,16 @@ def test_large_region_is_compared_whole(spark, monkeypatch):
     assert len(set(root)) == 81
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=99).collect()}
     assert [got[i] for i in range(len(texts))] == root
+
+
+def test_links_of_a_hub_are_confirmed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP_LINKS", 20)
+    kept, write = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: kept.append(write(df, label)) or kept[-1])
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 201)], "a long, b long")
+    same, other = np.arange(10, dtype=np.uint64).tobytes(), np.arange(5, 15, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(i, bytearray(other if i % 2 else same)) for i in range(201)], "rep long, shingles binary")
+    links = neardup.confirm(pairs, sets, 80).collect()
+    assert sorted((r.a, r.b) for r in links) == [(0, i) for i in range(2, 201, 2)]
+    groups = [df for df in kept if "g" in df.columns][-1].groupBy("g").count().collect()
+    assert max(r["count"] for r in groups) <= 2 * 20
