@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_level: int = 20) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, level): all that each root reaches, at its least level.
 
     A round joins the newest level with the edges and keeps what is new, all roots at once; the
@@ -33,7 +34,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_level: int = 20) -> DataFram
     e = edges.select("src", "dst").distinct()
     seen = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("level")).distinct(), "closure")
     frontier = seen
-    for level in range(1, max_level + 1):
+    for level in count(1):
         step = frontier.join(e, frontier.node == e.src).select("root", F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level)), "frontier")
         if frontier.isEmpty():
@@ -42,12 +43,12 @@ def closure(edges: DataFrame, roots: DataFrame, max_level: int = 20) -> DataFram
     return seen
 
 
-def witness_paths(edges: DataFrame, roots: DataFrame, max_level: int = 20) -> DataFrame:
+def witness_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, level, path): one shortest path each, the smallest predecessor at every step."""
     e = edges.select("src", "dst").distinct()
     frontier = written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level"), F.col("root").cast("string").alias("path")).distinct(), "paths")
     seen = frontier
-    for level in range(1, max_level + 1):
+    for level in count(1):
         step = frontier.join(e, frontier.node == e.src).groupBy("root", F.col("dst").alias("node")).agg(F.min_by("path", "src").alias("path"))
         step = step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), F.concat_ws(">", "path", F.col("node").cast("string")).alias("path"))
         frontier = written(step, "paths")
@@ -57,12 +58,15 @@ def witness_paths(edges: DataFrame, roots: DataFrame, max_level: int = 20) -> Da
     return seen
 
 
-def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(root, path, node, depth, cycle): the tree of calls; a node that is on its own path is a cycle leaf."""
+def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, path, node, depth, cycle): the tree of calls; a node that is on its own path is a cycle leaf.
+
+    Every path is followed to its end or cycle, or to max_depth where one is given.
+    """
     e = edges.select("src", "dst").distinct()
     level = roots.select("root", F.array("root").alias("trail"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("cycle")).distinct()
     out = level = written(level, "tree")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         open_ = level.where("NOT cycle")
         step = open_.join(e, open_.node == e.src).select("root", F.concat("trail", F.array("dst")).alias("trail"), F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.array_contains("trail", F.col("dst")).alias("cycle"))
         level = written(step, "tree")
