@@ -22,18 +22,27 @@ LEAST_QUALITY = 0.3
 MIX_PERMILLE = 900
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a unique number of each row as _row, written, so that it stays; ids may repeat or be null."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), cut=LEAST_QUALITY)
-    kept = materialise(scored.where("predicted = 1").select("doc_id").distinct(), "accepted")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Rows that the quality classifier accepts by their own text, also of repeated and null ids."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"), cut=LEAST_QUALITY)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words a shingle, a similarity of 0.8 or more."""
-    groups = neardup.near_duplicates(docs, words=5, percent=80)
-    kept = materialise(groups.where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of near-duplicates: five words a shingle, a similarity of 0.8 or more.
+
+    The smallest id stays, of rows that share it any one, and a null id only where a group has no other.
+    """
+    rows = with_rows(docs)
+    groups = neardup.near_duplicates(rows, words=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = groups.join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = materialise(groups.groupBy("component_id").agg(first).select("first._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +51,17 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, as often as it takes them, each cut to the tokens taken."""
-    taken = mixing.mix(docs, levels=mix_levels(), weights=MIX_WEIGHTS, permille=MIX_PERMILLE, max_epochs=1)
-    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("tokens").alias("_tokens"), F.col("taken").alias("_taken"))
+    """The documents that the mixture takes, as often as it takes them, each cut to the tokens taken.
+
+    Rows are told apart by a number of their own, so repeated and null ids take part as rows.
+    """
+    rows = with_rows(docs)
+    taken = mixing.mix(rows, row_col="_row", levels=mix_levels(), weights=MIX_WEIGHTS, permille=MIX_PERMILLE, max_epochs=1)
+    taken = taken.select(F.col("row").alias("_row"), F.col("tokens").alias("_tokens"), F.col("taken").alias("_taken"))
     pieces = F.regexp_extract_all(F.col("text"), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_taken").cast("int")), "")
     text = F.when(F.col("_taken") < F.col("_tokens"), cut).otherwise(F.col("text"))
-    mixed = docs.join(taken, docs.doc_id == taken._doc).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    mixed = rows.join(taken, "_row").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(docs.columns)
 
 

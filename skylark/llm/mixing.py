@@ -63,7 +63,7 @@ def budgets(supply: DataFrame, weights: dict[str, dict[str, int]], levels: list[
     return done
 
 
-def mix(docs: DataFrame, *, levels: dict[str, Column], weights: dict[str, dict[str, int]], budget: int | None = None, permille: int = 500, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, *, levels: dict[str, Column], weights: dict[str, dict[str, int]], budget: int | None = None, permille: int = 500, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, the level columns, epoch, tokens, taken: which tokens of which documents the mixture takes.
 
     ``levels`` name a tree from its root down. The budget, or ``permille`` thousandths of all tokens,
@@ -73,11 +73,14 @@ def mix(docs: DataFrame, *, levels: dict[str, Column], weights: dict[str, dict[s
 
     Rows with a null id, and texts without words, have nothing to give and take no part. A null
     level value is a node of its own. Repeated rows count as often as they appear; ties of the order
-    go by tokens. An empty table gives no rows; columns with clashing names are ignored.
+    go by tokens. With ``row_col``, a unique number of each row, the result has it as ``row``; rows
+    with a null id take part then, placed by it. An empty table gives no rows; columns with clashing names are ignored.
     """
     names = list(levels)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.cast("string").alias(n) for n, c in levels.items()], token_count(F.col(text_col)).alias("tokens"))
-    rows = materialise(rows.where("doc_id IS NOT NULL AND tokens > 0"), "mix-tokens")
+    key = [] if row_col is None else ["row"]
+    row = [F.col(row_col).alias("row")] if key else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, *[c.cast("string").alias(n) for n, c in levels.items()], token_count(F.col(text_col)).alias("tokens"))
+    rows = materialise(rows.where("tokens > 0" if key else "doc_id IS NOT NULL AND tokens > 0"), "mix-tokens")
     supply = materialise(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-supply")
     leaf = budgets(supply, weights, names, budget, permille, max_epochs)
     leaf = leaf.select(*[F.col(n).alias(f"_{n}") for n in names], "share")
@@ -85,16 +88,17 @@ def mix(docs: DataFrame, *, levels: dict[str, Column], weights: dict[str, dict[s
     leaf = leaf.withColumn("whole", F.expr("share div supply")).withColumn("rest", F.col("share") % F.col("supply")).withColumn("leaf", F.md5(F.to_json(F.struct(*names))))
     leaf = materialise(leaf, "mix-leaves")
     tagged = rows.withColumn("leaf", F.md5(F.to_json(F.struct(*names)))).join(leaf.select("leaf", "whole", "rest"), "leaf")
-    every = tagged.where("whole > 0").select("doc_id", *names, F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
+    every = tagged.where("whole > 0").select("doc_id", *key, *names, F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
     # the last epoch: sums by bucket first, and only the bucket in which the share ends is ordered row by row
-    place = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("whole").cast("string"), F.col("doc_id").cast("string")))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), F.col("row").cast("string"))) if key else F.col("doc_id").cast("string")
+    place = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("whole").cast("string"), own))
     last = tagged.where("rest > 0").withColumn("place", place).withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
     by_bucket = last.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("held"))
     before = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bucket.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
     placed = last.join(starts, ["leaf", "bucket"]).where("start < rest")
-    in_full = placed.where("start + held <= rest").select("doc_id", *names, F.col("whole").cast("int").alias("epoch"), "tokens", F.col("tokens").alias("taken"))
-    inner = Window.partitionBy("leaf", "bucket").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    in_full = placed.where("start + held <= rest").select("doc_id", *key, *names, F.col("whole").cast("int").alias("epoch"), "tokens", F.col("tokens").alias("taken"))
+    inner = Window.partitionBy("leaf", "bucket").orderBy("place", "doc_id", "tokens", *key).rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where("start + held > rest").withColumn("sofar", F.col("start") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where("sofar < rest")
-    partial = edge.select("doc_id", *names, F.col("whole").cast("int").alias("epoch"), "tokens", F.least("tokens", F.col("rest") - F.col("sofar")).alias("taken"))
+    partial = edge.select("doc_id", *key, *names, F.col("whole").cast("int").alias("epoch"), "tokens", F.least("tokens", F.col("rest") - F.col("sofar")).alias("taken"))
     return every.unionByName(in_full).unionByName(partial)

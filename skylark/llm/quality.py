@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,3 +119,16 @@ def score(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str =
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose own text scores ``cut`` or more, with all their columns, whatever their ids."""
+    model = train(docs, labels, cut=cut, id_col=id_col, text_col=text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column(text_col).to_pylist()], float).reshape(-1, FEATURES)
+            score = _sigmoid((x - model["mean"]) / model["std"] @ model["w"] + model["shift"])
+            yield batch.filter(pa.array(score >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
