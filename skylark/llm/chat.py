@@ -93,7 +93,7 @@ def parse(text: str, schemas: dict[str, dict]) -> tuple[str, list[tuple], list[t
     return bare, calls, results
 
 
-def order(needs: DataFrame, turns: DataFrame, rounds: int = 100) -> DataFrame:
+def order(needs: DataFrame, turns: DataFrame) -> DataFrame:
     """(row, at, depth): after which turn and how many steps behind it a row comes, for rows with needs.
 
     needs: (row, before): ``before`` must come first. Rows settle once all that they need has; what
@@ -105,9 +105,7 @@ def order(needs: DataFrame, turns: DataFrame, rounds: int = 100) -> DataFrame:
     free = needs.select(F.col("before").alias("row")).distinct().join(needs.select("row").distinct(), "row", "left_anti")
     settled = materialise(free.join(own, "row").select("row", F.col("turn").alias("at"), F.lit(0).alias("depth")), "settled")
     left = needs
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # a round settles a row or is the last
         known = left.join(settled.withColumnRenamed("row", "before"), "before", "left")
         ready = known.groupBy("row").agg(F.max(F.struct("at", F.col("depth"))).alias("last"), F.count_if(F.col("at").isNull()).alias("open")).where("open = 0")
         ready = ready.join(own, "row").select("row", F.greatest("turn", "last.at").alias("at"), F.when(F.col("turn") > F.col("last.at"), 0).otherwise(F.col("last.depth") + 1).alias("depth"))
