@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder (spark.checkpoint.dir, our own where unset) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="skylark-"))
-        folder = _OWN[0]
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from skylark.sources.shared import written
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
