@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDER: list[str] = []
+from skylark.sources.shared import written as materialise  # noqa: F401
+
+#: Input files that are numbered at most; rows of more are written with their numbers instead.
+MOST_FILES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,21 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="skylark-"))
-    return _OWN_FOLDER[0]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame as Parquet to the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a unique number of each row that stays the same in every use; ids may repeat or be null.
+
+    A row of a Parquet table is told by its file's number and its place in the file, which costs no
+    copy of the table. Rows from elsewhere, and of more files than MOST_FILES, are written first.
+    """
+    try:
+        files = [r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().limit(MOST_FILES + 1).collect()]
+        place = docs.select("*", F.col("_metadata.file_path").alias("_skylark_file"), F.col("_metadata.row_index").alias("_skylark_index"))
+    except AnalysisException:
+        files = []
+    if not 0 < len(files) <= MOST_FILES:
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    known = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "_skylark_file string, _skylark_number long")
+    row = F.shiftleft(F.col("_skylark_number"), 40) + F.col("_skylark_index")
+    return place.join(F.broadcast(known), "_skylark_file").select(*docs.columns, row.alias(name))
 
 
 def bucket_of(n: int, *cols: str):

@@ -11,19 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylark.llm.common import materialise
+from skylark.llm.common import materialise as written
 from skylark.llm.components import components
 from skylark.llm.vocab import Words
 
 #: Orders of the forest and the hashes of each; a signature holds them all.
-TREES, DEPTH = 20, 8
+TREES, DEPTH = 16, 6
 #: Prefix lengths that regions may have: the first that leaves at most REGION members.
-STEPS = (4, 6, 8)
+STEPS = (3, 4, 6)
 REGION = 2048
-#: Bins of the finer sketch by which the last round's pairs are told, and the standard deviations that it allows.
-BINS, FINE_SPREAD = 512, 4
-#: Links whose sets are confirmed in one task.
-GROUP_LINKS = 1000
+#: Orders whose neighbours are linked before regions are compared.
+ORDERS = 4
+#: Bins of the sketch by which pairs are told, of which the first COARSE are looked at before the
+#: others, and the standard deviations that it allows.
+BINS, COARSE, SPREAD = 512, 64, 4
 _SEED = np.random.default_rng(20240607)
 _MUL = _SEED.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -56,8 +57,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash signatures of non-empty sets, a row of 32-bit values each."""
-    out = np.zeros((len(sets), TREES * DEPTH), np.uint32)
+    """MinHash signatures of non-empty sets, a row each: the low 16 bits of 32-bit minima."""
+    out = np.zeros((len(sets), TREES * DEPTH), np.uint16)
     at = 0
     while at < len(sets):
         end, size = at, 0
@@ -67,32 +68,32 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         h = np.concatenate(sets[at:end])
         starts = np.cumsum([0, *map(len, sets[at : end - 1])])
         for i in range(TREES * DEPTH):
-            out[at:end, i] = np.minimum.reduceat(((h * _MUL[i] + _ADD[i]) >> np.uint64(32)).astype(np.uint32), starts)
+            out[at:end, i] = np.minimum.reduceat(((h * _MUL[i] + _ADD[i]) >> np.uint64(32)).astype(np.uint32), starts) & np.uint32(0xFFFF)
         at = end
     return out
 
 
 def fine_sketch(shingles: np.ndarray) -> np.ndarray:
-    """One-permutation sketch of a set: each of BINS bins holds 8 bits of its smallest hash, or 0 if it is empty."""
-    g = np.sort(_mix(shingles * _PLACES[2] + _PLACES[3]))
-    bins, first = np.unique(g >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    """One-permutation sketch of a sorted set: each of BINS bins holds 8 bits of its smallest hash, or 0 if it is empty."""
+    bins = (shingles >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
     out = np.zeros(BINS, np.uint8)
-    out[bins.astype(np.int64)] = g[first] % np.uint64(255) + np.uint64(1)
+    out[bins[first]] = shingles[first] % np.uint64(255) + np.uint64(1)
     return out
 
 
 def fine_near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, ratio: float) -> np.ndarray:
-    """Which pairs of fine sketches (rows) can belong to sets as similar as ``ratio``, given the sum of their sizes.
+    """Which pairs of sketches (rows), or of their first bins, can belong to sets as similar as ``ratio``, given the sum of their sizes.
 
     Bins are drawn from the union without replacement, so the spread falls to nothing for sets that
     fit into the bins.
     """
     used = ((x | y) != 0).sum(1)
     same = ((x == y) & (x != 0)).sum(1)
-    union = np.maximum(sizes / (1 + ratio), used)
+    union = np.maximum(sizes / (1 + ratio) * (x.shape[1] / BINS), used)
     rest = np.maximum(union - 1, 1)
     spread = np.sqrt(ratio * (1 - ratio) * np.maximum((1 + 1 / rest) / np.maximum(used, 1) - 1 / rest, 0))
-    return same >= (ratio - FINE_SPREAD * spread) * used - 1
+    return same >= (ratio - SPREAD * spread) * used - 1
 
 
 def _batches(batches: Iterator[pd.DataFrame], words: int, rows: int = 256) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -103,7 +104,7 @@ def _batches(batches: Iterator[pd.DataFrame], words: int, rows: int = 256) -> It
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig): the size, a 128-bit key and the signature of every set."""
+    """(doc_id, n_shingles, set_key, sig, fine): the size, a 128-bit key, the signature and the sketch of every set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, sets in _batches(batches, words):
@@ -112,66 +113,112 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "sig": [next(sig).tobytes() if len(s) else None for s in sets],
+                "sig": [next(sig).tobytes() if len(s) else None for s in sets], "fine": [fine_sketch(s).tobytes() if len(s) else None for s in sets],
             })
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sig binary, fine binary")
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """(tree, k4, k6, k8, rep): of every signature and order, the hash of its prefix at each step."""
+    """(tree, hi, lo, k3, k4, k6, rep): each signature's place in every order, and its prefixes' hashes.
+
+    An order sorts signatures by its DEPTH hashes, of which ``hi`` holds the first four and ``lo``
+    the others; so the signatures with the longest common prefixes stand side by side.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), TREES, DEPTH).astype(np.uint64)
-            out = {"rep": np.repeat(pdf["rep"].to_numpy(), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(pdf))}
+            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), TREES, DEPTH).astype(np.uint64)
+            packed = [np.zeros(sig.shape[:2], np.uint64), np.zeros(sig.shape[:2], np.uint64)]
+            for i in range(DEPTH):
+                packed[i // 4] = packed[i // 4] << np.uint64(16) | sig[:, :, i]
+            out = {"tree": np.tile(np.arange(TREES, dtype=np.int32), len(pdf)), "hi": packed[0].view(np.int64).reshape(-1), "lo": packed[1].view(np.int64).reshape(-1)}
             h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64) * _PLACES[0], sig.shape[:2]).copy()
             for i in range(DEPTH):
                 h = _mix(h * _PLACES[1] + sig[:, :, i])
                 if i + 1 in STEPS:
                     out[f"k{i + 1}"] = h.view(np.int64).reshape(-1)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out | {"rep": np.repeat(pdf["rep"].to_numpy(), TREES)})
 
-    return reps.select("rep", "sig").mapInPandas(run, "rep long, tree int, " + ", ".join(f"k{s} long" for s in STEPS))
+    return reps.select("rep", "sig").mapInPandas(run, "tree int, hi long, lo long, " + ", ".join(f"k{s} long" for s in STEPS) + ", rep long")
 
 
-def regions(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tree, region, side, rep, deep): members of regions of two or more, each as deep as its size asks for.
+def sized(df: DataFrame, key: str, name: str, least: int) -> DataFrame:
+    """The rows of df whose key is on at least so many rows, with that number."""
+    sizes = df.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) >= least)
+    return df.join(sizes.hint("shuffle_hash"), key)
 
-    The bits of deep are the trees in which the member's shortest prefix is too common for a region.
 
-    A region that is too large at the last step holds documents that agree in all of its hashes. The
-    first table cuts it into hashed runs of about REGION, others in each tree, each with the region's
-    first member: enough to find most links soon. The second table has it whole, as all pairs of its
-    runs; there members of the same side are not compared, and side is -1 where all pairs are.
+def in_order(members: DataFrame) -> DataFrame:
+    """(a, b): neighbours in the first ORDERS orders that share a region; of all prefixes they share the longest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+                key, rep = pdf[f"k{STEPS[0]}"].to_numpy(), pdf["rep"].to_numpy()
+                same = key[1:] == key[:-1]
+                yield pd.DataFrame({"a": np.minimum(rep[:-1], rep[1:])[same], "b": np.maximum(rep[:-1], rep[1:])[same]})
+                last = pdf.iloc[-1:]
+
+    place = ["tree", "hi", "lo", "rep"]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = members.where(F.col("tree") < ORDERS).select(f"k{STEPS[0]}", *place).repartitionByRange(n, *place).sortWithinPartitions(*place)
+    return own.mapInPandas(run, "a long, b long").distinct()
+
+
+def regions(members: DataFrame) -> DataFrame:
+    """(tree, region, side, whole, rep): regions of two or more, each as deep as its size asks for.
+
+    A region of at most REGION members at the first step is whole. Of a larger one, here only its
+    parts with longer prefixes appear, of the first step that leaves at most REGION members.
     """
-    left, done, too_common = prefixes, [], prefixes
-    whole = F.lit(-1).alias("side")
-    for step in STEPS:
+    row = lambda key, whole: ("tree", F.col(key).alias("region"), F.lit(-1).alias("side"), F.lit(whole).alias("whole"), "rep")
+    out, left = members.where(F.col("n") <= REGION).select(*row(f"k{STEPS[0]}", True)), members.where(F.col("n") > REGION)
+    for step in STEPS[1:]:
         key = f"k{step}"
-        sizes = left.groupBy("tree", key).agg(F.count("*").alias("n")).where("n > 1")
-        sized = materialise(left.join(sizes, ["tree", key]), "sized")
-        done.append(sized.where(F.col("n") <= REGION).select("tree", F.xxhash64(F.lit(step), key).alias("region"), whole, "rep"))
-        left = sized.where(F.col("n") > REGION)
-        if step != STEPS[-1]:
-            left = left.drop("n")
-            too_common = left if step == STEPS[0] else too_common
-    small = done[0]
-    for more in done[1:]:
-        small = small.unionByName(more)
-    place = F.pmod(F.xxhash64("tree", "rep"), F.lit(1 << 30)) / float(1 << 30)
-    runs = left.select("tree", key, "rep", "n", F.floor(place * F.col("n") / REGION).cast("int").alias("run"))
-    heads = runs.groupBy("tree", key).agg(F.min("rep").alias("head"))
-    with_head = runs.select("tree", key, "run").distinct().join(heads, ["tree", key]).select("tree", key, F.col("head").alias("rep"), "run")
-    cut = runs.drop("n").unionByName(with_head).distinct().select("tree", F.xxhash64(F.lit(-1), key, "run").alias("region"), whole, "rep")
-    others = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / REGION).cast("int") - 1))
-    paired = runs.select("tree", key, "rep", "run", others.alias("other"))
-    side = F.when(F.col("run") == F.col("other"), -1).otherwise((F.col("run") > F.col("other")).cast("int"))
-    blocks = paired.select("tree", F.xxhash64(F.lit(-2), key, F.least("run", "other"), F.greatest("run", "other")).alias("region"), side.alias("side"), "rep")
-    deeper = materialise(too_common.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("deep")), "deeper")
-    small, cut, blocks = (x.join(deeper, "rep", "left").fillna(0, ["deep"]) for x in (small, cut, blocks))
-    small = materialise(small, "members")
-    return small.unionByName(materialise(cut, "members")), small.unionByName(materialise(blocks, "blocks"))
+        left = sized(left.drop("n"), key, "n", 2)
+        out = out.unionByName(left.where(F.col("n") <= REGION).select(*row(key, False)))
+        left = left.where(F.col("n") > REGION)
+    return out
+
+
+def blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tree, region, side, whole, rep): the large regions of the first step, cut into pairs of runs.
+
+    Members of a component that is large within its region form runs of their own, the others share
+    some, of about REGION each. Two runs meet in one block, where members of the same side are not
+    compared, unless both are of one component; a shared run meets itself too, with side -1.
+    """
+    key, shared = f"k{STEPS[0]}", F.lit(-(1 << 63)).cast("long")
+    own = with_comps(members.where(F.col("n") > REGION).select("tree", key, "rep"), comps)
+    per = own.groupBy(key, "comp").agg(F.count("*").alias("m")).withColumn("of", F.when(F.col("m") > REGION // 2, F.col("comp")))
+    # a region without a second component has no rows here
+    pools = per.groupBy(key, "of").agg(F.sum("m").alias("m"), F.count("*").alias("c"))
+    mixed = pools.groupBy(key).agg(F.sum("c").alias("c")).where("c > 1").select(key)
+    pools = pools.join(mixed, key).withColumn("runs", F.ceil(F.col("m") / REGION).cast("int"))
+    runs = written(pools.select(key, "of", "c", "runs", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run")), "runs")
+    other = runs.select(F.col(key).alias("_k"), F.col("of").alias("other_of"), F.col("run").alias("other_run"))
+    first = F.struct(F.coalesce("of", shared).alias("of"), F.col("run").alias("run"))
+    second = F.struct(F.coalesce("other_of", shared).alias("of"), F.col("other_run").alias("run"))
+    apart = F.col("of").isNull() | F.col("other_of").isNull() | (F.col("of") != F.col("other_of"))
+    meets = runs.join(other, F.col(key) == F.col("_k")).where(apart & (F.to_json(first) <= F.to_json(second)))
+    meets = meets.select(key, F.xxhash64(key, F.to_json(first), F.to_json(second)).alias("region"), F.struct(first.alias("x"), second.alias("y")).alias("p"))
+    same = F.to_json("p.x") == F.to_json("p.y")
+    sides = meets.select(key, "region", F.when(same, -1).otherwise(0).alias("side"), F.col("p.x").alias("r")).unionByName(
+        meets.where(~same).select(key, "region", F.lit(1).alias("side"), F.col("p.y").alias("r")))
+    sides = sides.select(key, "region", "side", F.col("r.of").alias("_of"), F.col("r.run").alias("run"))
+    placed = own.join(per.select(key, "comp", "of"), [key, "comp"]).select("tree", key, "rep", F.coalesce("of", shared).alias("_of"))
+    counts = pools.select(key, F.coalesce("of", shared).alias("_of"), "runs")
+    placed = placed.join(counts, [key, "_of"]).withColumn("run", F.pmod(F.xxhash64("rep", "tree"), F.col("runs")).cast("int"))
+    return placed.join(sides, [key, "_of", "run"]).select("tree", "region", "side", F.lit(True).alias("whole"), "rep")
+
+
+def with_comps(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members with their components so far as comp."""
+    named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    return named.withColumn("comp", F.coalesce("root", "rep")).drop("root")
 
 
 def _all_pairs(starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -198,121 +245,85 @@ def _all_pairs(starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> Ite
             yield np.repeat(i, len(j)), np.tile(j, len(i))
 
 
-def _links(pdf: pd.DataFrame, ratio: float, least: float, best_only: bool) -> pd.DataFrame:
-    """Candidate links of whole regions: of each member the best, or all between different comps.
+def _links(pdf: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    """Pairs between different components of whole regions whose sizes and sketches allow for a link.
 
-    Of a pair that several trees hold, only the first tree's region tells: the first in which both
-    have the same shortest prefix, if that tree left regions there no deeper. With all pairs, the
-    fine sketches must agree too.
+    Of a pair that several whole regions hold, only the first tree in which both share the shortest
+    prefix tells.
     """
-    rep, comp, deep, tree = (pdf[c].to_numpy() for c in ("rep", "comp", "deep", "tree"))
-    size = pdf["n_shingles"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), TREES * DEPTH)
-    fine = None if best_only else np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), BINS)
-    heads = sig.reshape(len(pdf), TREES, DEPTH)[:, :, : STEPS[0]]
-    new = np.concatenate([[True], (tree[1:] != tree[:-1]) | (pdf["region"].to_numpy()[1:] != pdf["region"].to_numpy()[:-1])])
-    starts = np.flatnonzero(new)
+    rep, comp, tree, whole, size = (pdf[c].to_numpy() for c in ("rep", "comp", "tree", "whole", "n_shingles"))
+    fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), BINS)
+    coarse = np.ascontiguousarray(fine[:, :COARSE])
+    heads = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), TREES, DEPTH)[:, :, : STEPS[0]]
+    region = pdf["region"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
     sizes = np.diff(np.append(starts, len(pdf)))
     firsts = np.add.reduceat((pdf["side"].to_numpy() == 0).astype(np.int64), starts)
-
-    def told_here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        shared = (heads[i] == heads[j]).all(2) & ((deep[i][:, None] >> np.arange(TREES)) & 1 == 0)
-        return np.where(shared.any(1), shared.argmax(1), TREES) >= tree[i]
-
+    # a run with one side only has no pairs
+    sizes = np.where(firsts == sizes, 1, sizes)
     found = []
     for i, j in _all_pairs(starts, sizes, firsts):
-        apart = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
-        i, j = i[apart], j[apart]
-        agree = (sig[i] == sig[j]).sum(1)
-        near = agree >= least * sig.shape[1]
-        i, j, agree = i[near], j[near], agree[near]
-        if not best_only:
-            own = told_here(i, j)
-            i, j, agree = i[own], j[own], agree[own]
-            parts = np.array_split(np.arange(len(i)), len(i) // 20_000 + 1)
-            own = np.concatenate([fine_near(fine[i[k]], fine[j[k]], size[i[k]] + size[j[k]], ratio) for k in parts])
-            i, j, agree = i[own], j[own], agree[own]
-        found.append((i, j, agree))
-    i, j, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    if best_only and len(i):
-        i, j, agree = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-        order = np.lexsort((rep[j], -agree, i))
-        i, j = i[order], j[order]
-        top = np.concatenate([[True], i[1:] != i[:-1]])
-        i, j = i[top], j[top]
-        own = told_here(i, j)  # a member's best neighbour of all is its best in that pair's first tree too
-        i, j = i[own], j[own]
-    return pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}).drop_duplicates()
-
-
-def candidates(members: DataFrame, reps: DataFrame, comps: DataFrame | None, ratio: float, least: float, best_only: bool) -> DataFrame:
-    """(a, b): pairs of a region whose signatures agree in the share ``least`` or more.
-
-    Sets whose sizes differ by more than ``ratio`` cannot be that similar. With comps (node, root),
-    only pairs that no links join yet count, and regions of a single comp are not read. Either each
-    member's best neighbour in each region, or all whose fine sketches agree too.
+        ok = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
+        i, j = i[ok], j[ok]
+        for part, step in ((coarse, 100_000), (fine, 20_000)):
+            cuts = np.array_split(np.arange(len(i)), len(i) // step + 1)
+            ok = np.concatenate([fine_near(part[i[k]], part[j[k]], size[i[k]] + size[j[k]], ratio) for k in cuts])
+            i, j = i[ok], j[ok]
+        shared = (heads[i] == heads[j]).all(2)
+        ok = ~whole[i] | (shared.argmax(1) >= tree[i])
+        found.append((rep[i[ok]], rep[j[ok]]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def across(members: DataFrame, reps: DataFrame, comps: DataFrame, ratio: float) -> DataFrame:
+    """(a, b): all pairs of a region, between components, whose sketches can belong to a link.
+
+    Sets whose sizes differ by more than ``ratio`` cannot be that similar, and regions of a single
+    component are not read.
     """
-    if comps is not None:
-        members = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        mixed = members.groupBy("tree", "region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "region")
-        members = members.join(mixed, ["tree", "region"])
-    else:
-        members = members.withColumn("comp", F.col("rep"))
+    own = with_comps(members, comps)
+    mixed = own.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("region")
+    own = own.join(mixed, "region")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for pdf in batches:
             pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            last = (pdf["tree"] == pdf["tree"].iat[-1]) & (pdf["region"] == pdf["region"].iat[-1])
+            if not len(pdf):
+                continue
+            last = pdf["region"] == pdf["region"].iat[-1]
             kept = pdf[last]  # the next batch may go on with it
             if not last.all():
-                yield _links(pdf[~last], ratio, least, best_only)
+                yield _links(pdf[~last], ratio)
         if kept is not None:
-            yield _links(kept, ratio, least, best_only)
+            yield _links(kept, ratio)
 
-    extra = [] if best_only else ["fine"]
-    full = members.join(reps.select("rep", "n_shingles", "sig", *extra), "rep").select("tree", "region", "side", "rep", "comp", "deep", "n_shingles", "sig", *extra)
+    full = own.join(reps.select("rep", "n_shingles", "sig", "fine"), "rep").select("tree", "region", "side", "whole", "rep", "comp", "n_shingles", "sig", "fine")
     n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "tree", "region").sortWithinPartitions("tree", "region", "side", "rep").mapInPandas(run, "a long, b long").distinct()
+    return full.repartition(n, "region").sortWithinPartitions("region", "side", "rep").mapInPandas(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles, fine): the whole sets of the wanted (rep, set_key) documents, and their fine sketches."""
+    """(rep, shingles): the whole sets of the wanted (rep, set_key) documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, sets in _batches(batches, words):
-            blobs = [s.tobytes() for s in sets]
-            own = [hashlib.blake2b(b, digest_size=16).digest() == bytes(k) for b, k in zip(blobs, part["set_key"], strict=True)]
-            yield pd.DataFrame({"rep": part["doc_id"].to_numpy(), "shingles": blobs, "fine": [fine_sketch(s).tobytes() for s in sets]})[own]
+            own = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(sets, part["set_key"], strict=True)], bool)
+            yield pd.DataFrame({"rep": part["doc_id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})[own]
 
-    return docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "set_key").mapInPandas(run, "rep long, shingles binary, fine binary").dropDuplicates(["rep"])
+    named = wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash")
+    return docs.join(named, "doc_id").select("doc_id", "text", "set_key").mapInPandas(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their sets.
 
-    Pairs that hang together travel together, so that a set is sent once for a family and not once
-    for a pair; a family of many pairs is cut into parts of about GROUP_LINKS by a hash of both ends,
-    so that a part has 2 * GROUP_LINKS sets or so, however many pairs one document is in.
+    A join by either end brings the sets; what one set has in many pairs is split as a skewed join is.
     """
-    pairs = materialise(pairs, "pairs")
-    family = components(pairs)
-    pairs = materialise(pairs.join(family.withColumnRenamed("node", "a"), "a"), "pairs")
-    # at most one in GROUP_LINKS pairs has a row here, so no family has to meet in one task
-    large = F.broadcast(pairs.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_LINKS))
-    part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.coalesce("n", F.lit(1)) / GROUP_LINKS))
-    pairs = materialise(pairs.join(large, "root", "left").select("a", "b", F.xxhash64("root", part).alias("g")), "pairs")
-    needs = pairs.select(F.col("g").alias("of"), F.col("a").alias("rep")).union(pairs.select("g", "b")).distinct().join(sets.select("rep", "shingles"), "rep")
-
-    def run(links: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        by = {r: np.frombuffer(s, np.uint64) for r, s in zip(own["rep"], own["shingles"], strict=True)}
-        keep = []
-        for a, b in zip(links["a"], links["b"], strict=True):
-            x, y = by[a], by[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        return links.loc[np.array(keep, bool), ["a", "b"]]
-
-    return pairs.groupBy("g").cogroup(needs.groupBy("of")).applyInPandas(run, "a long, b long")
+    x, y = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,9 +332,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80, id_co
     Words are runs of anything but ASCII white space, A-Z in lower case; a set holds the distinct
     shingles of ``words`` words, or the whole of a shorter text. Documents are linked if 100 *
     intersection >= percent * union; component_id is the smallest id that a document reaches and
-    kept marks it. Equal sets are one class, whatever their number; candidates come from the
-    forest's regions, in two rounds each member's best neighbour, in a third all pairs that no link
-    joins yet and whose fine sketches agree; every link is confirmed on the full sets.
+    kept marks it. Equal sets are one class, whatever their number. Candidates come from the forest:
+    first each one's neighbours in some sorted orders, which share the longest prefixes with it; then
+    all pairs that no link joins yet within regions as deep as their sizes ask for; at last, of
+    regions that are large at their shortest prefix, all pairs that no link joins yet. Pairs whose
+    sketches cannot belong to a link are left out and all others confirmed on full sets. So a pair
+    just at the threshold is lost only if no tree has its first hashes equal, or by its sketch.
 
     A text without words, or null, has an empty set and is linked with nothing. Rows with a null id
     keep a null component_id and are kept. Repeated rows are returned as often as they appear; of
@@ -331,38 +345,26 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80, id_co
     columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialise(sketch(docs, words), "sketches")
+    sketched = written(sketch(docs, words), "sketches")
     has = sketched.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    reps = has.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = materialise(reps.mapInPandas(_narrow, "set_key binary, rep long, n_shingles long, sig32 binary, sig binary"), "reps")
-    members, blocks = regions(forest(reps.select("rep", F.col("sig32").alias("sig"))))
-    reps = reps.drop("sig32").dropDuplicates(["rep"])
-    # 3 standard deviations below the least similarity
-    p = percent / 100
-    least = p - 3 * (p * (1 - p) / (TREES * DEPTH)) ** 0.5
-    first = materialise(candidates(members, reps, None, p, least, True), "candidates")
-    # of regions cut into runs, a member may be near to one of another run only
-    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).union(blocks.where("side >= 0").select("rep")).distinct()
-    sets = materialise(full_sets(docs, reps.select("rep", "set_key").join(wanted, "rep"), words), "sets")
-    seen, links = first, materialise(confirm(first, sets, percent), "links")
-    comps = materialise(components(links), "components")
-    # all else that is near anything has a best neighbour, so its set is among those read
-    near = materialise(reps.join(sets.select("rep", "fine"), "rep"), "near")
-    for best_only in (True, False):
-        more = materialise(candidates(members if best_only else blocks, near, comps, p, least, best_only).join(seen, ["a", "b"], "left_anti"), "candidates")
-        found = materialise(confirm(more, sets, percent), "links")
+    reps = has.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "fine")])
+    reps = written(reps, "reps")
+    classes, reps = reps.select("set_key", "rep"), reps.dropDuplicates(["rep"])
+    members = written(sized(forest(reps), f"k{STEPS[0]}", "n", 2), "members")
+    sets = written(full_sets(docs, reps.join(members.select("rep").distinct(), "rep").select("rep", "set_key"), words), "sets")
+    ratio = percent / 100
+    seen = written(in_order(members), "candidates")
+    links = written(confirm(seen, sets, percent), "links")
+    comps = written(components(links), "components")
+    for last in (False, True):
+        near = blocks(members, comps) if last else regions(members)
+        more = written(across(near, reps, comps, ratio).join(seen, ["a", "b"], "left_anti"), "candidates")
+        found = written(confirm(more, sets, percent), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
-            comps = materialise(components(links), "components")
+            comps = written(components(links), "components")
         seen = seen.unionByName(more)
-    classes = reps.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class"))
+    classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class"))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Beside the forest's 32-bit values, 16 bits of each are enough to count agreements."""
-    for pdf in batches:
-        narrow = [np.frombuffer(s, np.uint32).astype(np.uint16).tobytes() for s in pdf["sig"]]
-        yield pd.DataFrame({"set_key": pdf["set_key"], "rep": pdf["rep"], "n_shingles": pdf["n_shingles"], "sig32": pdf["sig"], "sig": narrow})

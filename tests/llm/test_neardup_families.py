@@ -1,6 +1,7 @@
 """Families of near copies that are larger than a region, against brute force."""
 
 import numpy as np
+import pandas as pd
 
 from skylark.llm import neardup
 
@@ -30,14 +31,22 @@ def test_large_region_is_compared_whole(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == root
 
 
-def test_links_of_a_hub_are_confirmed_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "GROUP_LINKS", 20)
-    kept, write = [], neardup.materialise
-    monkeypatch.setattr(neardup, "materialise", lambda df, label: kept.append(write(df, label)) or kept[-1])
+def test_confirmed_links(spark):
     pairs = spark.createDataFrame([(0, i) for i in range(1, 201)], "a long, b long")
-    same, other = np.arange(10, dtype=np.uint64).tobytes(), np.arange(5, 15, dtype=np.uint64).tobytes()
-    sets = spark.createDataFrame([(i, bytearray(other if i % 2 else same)) for i in range(201)], "rep long, shingles binary")
-    links = neardup.confirm(pairs, sets, 80).collect()
-    assert sorted((r.a, r.b) for r in links) == [(0, i) for i in range(2, 201, 2)]
-    groups = [df for df in kept if "g" in df.columns][-1].groupBy("g").count().collect()
-    assert max(r["count"] for r in groups) <= 2 * 20
+    sets = spark.createDataFrame([(i, list(range(5, 15)) if i % 2 else list(range(10))) for i in range(201)], "rep long, shingles array<long>")
+    assert sorted((r.a, r.b) for r in neardup.confirm(pairs, sets, 80).collect()) == [(0, i) for i in range(2, 201, 2)]
+
+
+def test_blocks_hold_every_pair_of_different_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    members = spark.createDataFrame([(0, 5, i, 60) for i in range(60)] + [(1, 6, i, 9) for i in range(9)], f"tree int, k{neardup.STEPS[0]} long, rep long, n long")
+    comps = spark.createDataFrame([(i, 0 if i < 30 else i // 5 * 5) for i in range(60)], "node long, root long")
+    def met(pdf):
+        rows = list(zip(pdf["rep"], pdf["side"], strict=True))
+        assert len(rows) <= 40
+        return pd.DataFrame([(min(a, b), max(a, b)) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if x == -1 or x != y], columns=["a", "b"])
+
+    got = {(r.a, r.b) for r in neardup.blocks(members, comps).groupBy("region").applyInPandas(met, "a long, b long").collect()}
+    comp = [0 if i < 30 else i // 5 * 5 for i in range(60)]
+    want = {(i, j) for j in range(60) for i in range(j) if comp[i] != comp[j]}
+    assert want <= got and len([p for p in got if comp[p[0]] == comp[p[1]] == 0]) == 0
