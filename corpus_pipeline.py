@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylark.llm import mixing, neardup, packing, pii, quality
-from skylark.llm.common import materialise, table
+from skylark.llm.common import materialise, numbered, table
 from skylark.llm.queries import MIX_WEIGHTS, mix_levels
 from skylark.llm.vocab import public_path
 
@@ -22,11 +22,6 @@ LEAST_QUALITY = 0.3
 MIX_PERMILLE = 900
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a unique number of each row as _row, written, so that it stays; ids may repeat or be null."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier accepts by their own text, also of repeated and null ids."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"), cut=LEAST_QUALITY)
@@ -37,12 +32,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The smallest id stays, of rows that share it any one, and a null id only where a group has no other.
     """
-    rows = with_rows(docs)
-    groups = neardup.near_duplicates(rows, words=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    groups = groups.join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    kept = materialise(groups.groupBy("component_id").agg(first).select("first._row"), "kept")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows = numbered(docs, "_skylark_row")
+    groups = neardup.near_duplicates(rows, words=5, percent=80, id_col="_skylark_row").select(F.col("doc_id").alias("_skylark_row"), "component_id")
+    groups = groups.join(rows.select("_skylark_row", "doc_id"), "_skylark_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_skylark_row")).alias("first")
+    kept = materialise(groups.groupBy("component_id").agg(first).select("first._skylark_row"), "kept")
+    return rows.join(kept.hint("shuffle_hash"), "_skylark_row", "left_semi").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +50,13 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by a number of their own, so repeated and null ids take part as rows.
     """
-    rows = with_rows(docs)
-    taken = mixing.mix(rows, row_col="_row", levels=mix_levels(), weights=MIX_WEIGHTS, permille=MIX_PERMILLE, max_epochs=1)
-    taken = taken.select(F.col("row").alias("_row"), F.col("tokens").alias("_tokens"), F.col("taken").alias("_taken"))
+    rows = numbered(docs, "_skylark_row")
+    taken = mixing.mix(rows, row_col="_skylark_row", levels=mix_levels(), weights=MIX_WEIGHTS, permille=MIX_PERMILLE, max_epochs=1)
+    taken = taken.select(F.col("row").alias("_skylark_row"), F.col("tokens").alias("_skylark_tokens"), F.col("taken").alias("_skylark_taken"))
     pieces = F.regexp_extract_all(F.col("text"), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_taken").cast("int")), "")
-    text = F.when(F.col("_taken") < F.col("_tokens"), cut).otherwise(F.col("text"))
-    mixed = rows.join(taken, "_row").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_skylark_taken").cast("int")), "")
+    text = F.when(F.col("_skylark_taken") < F.col("_skylark_tokens"), cut).otherwise(F.col("text"))
+    mixed = rows.join(taken.hint("shuffle_hash"), "_skylark_row").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(docs.columns)
 
 
