@@ -2,9 +2,11 @@
 
 The histogram has at most ``capacity`` entries however many documents there are, so the program
 is solved on the driver: multiplicative weights hold a price for each length, a knapsack dynamic
-program finds the configuration of highest price, and the averaged configurations are rounded down.
-What rounding leaves over is placed by best fit, again on counts. Executors then number the pieces of
-each length and look up each number's sequence and offset.
+program finds the configuration of highest price, and the averaged configurations are rounded. Its
+table also has the best configuration that begins with any given length. The program is solved
+again for what rounding leaves over, until little of it can be placed so; the last pieces are placed by
+best fit, again on counts. Executors then number the pieces of each length and look up each number's
+sequence and offset.
 """
 
 from __future__ import annotations
@@ -69,8 +71,8 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
 
 
-def _priced(value: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of highest total value that fits, by dynamic programming."""
+def _knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """For every room, the length that the fill of highest total value takes first, 0 where it leaves a token free."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     short = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
@@ -81,7 +83,13 @@ def _priced(value: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
             best[room], took[room] = v[i], lengths[i]
         if best[room - 1] > best[room]:
             best[room], took[room] = best[room - 1], 0
-    room, config = capacity, Counter()
+    return took
+
+
+def _fill(took: np.ndarray, room: int, first: int = 0) -> Counter:
+    """The multiset of lengths of highest total value that fits into the room, after ``first`` if it is given."""
+    config = Counter({first: 1}) if first else Counter()
+    room -= first
     while room > 0:
         if took[room]:
             config[int(took[room])] += 1
@@ -119,18 +127,16 @@ def _best_fit(left: Counter, capacity: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 240, step: float = 0.35) -> Counter:
-    """Configurations and how often each is used, so that every piece has a place."""
-    if not histogram:
-        return Counter()
-    lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], np.float64)
-    left, chosen = Counter({int(x): int(n) for x, n in zip(lengths, need, strict=True)}), Counter()
-    price, used, total = np.log(need * lengths / capacity), Counter(), np.zeros(len(lengths))
+def solve(left: Counter, capacity: int, rounds: int, step: float) -> tuple[dict[tuple, float], np.ndarray]:
+    """The program over the lengths that are left, by multiplicative weights: how often each configuration is used, and the last prices' table."""
+    lengths = np.array(sorted(left), np.int64)
+    need = np.array([left[int(x)] for x in lengths], np.float64)
     at = {int(x): i for i, x in enumerate(lengths)}
+    price, used, total = np.log(need * lengths / capacity), Counter(), np.zeros(len(lengths))
+    took = np.zeros(capacity + 1, np.int64)
     for _ in range(rounds):
-        weight = np.exp(price - price.max())
-        config = _priced(weight / need, lengths, capacity)
+        took = _knapsack(np.exp(price - price.max()) / need, lengths, capacity)
+        config = _fill(took, capacity)
         gain = np.zeros(len(lengths))
         for x, n in config.items():
             gain[at[x]] = n / need[at[x]]
@@ -139,16 +145,48 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 240, step: floa
         used[tuple(sorted(config.elements(), reverse=True))] += times
         total += times * gain
         price -= step * gain * times
-    scale = 1 / max(total.mean(), 1e-12)
-    for config, times in sorted(used.items(), key=lambda c: (-c[1], c[0])):
-        each = Counter(config)
-        n = min(math.floor(times * scale), min(left[x] // m for x, m in each.items()))
-        if n > 0 and sum(config) == capacity:
-            chosen[config] += n
-            left.subtract({x: n * m for x, m in each.items()})
-    chosen.update(_best_fit(+left, capacity))
-    whole = _best_fit(Counter({int(x): int(n) for x, n in histogram.items()}), capacity)
-    return min(chosen, whole, key=lambda c: sum(c.values()))
+    return {c: x / max(total.mean(), 1e-12) for c, x in used.items()}, took
+
+
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 40, step: float = 0.35, slack: int = 2, little: float = 0.02) -> tuple[Counter, int]:
+    """Configurations and how often each is used, so that every piece has a place, and how many sequences come from the program.
+
+    Each pass solves the program for what is left, rounds its configurations (down, but once at
+    least where the pieces are there) and takes the best one that begins with each length. Pieces
+    longer than half a sequence are covered first, as they alone need a sequence each. When a pass
+    adds less than the share ``little``, configurations may leave twice as much free as before, up to
+    a 64th of a sequence; then shorter pieces begin configurations too, with up to ``slack`` tokens
+    free. Best fit places what a pass leaves over, and of all passes the one with the fewest sequences
+    counts, the last of several.
+    """
+    left, chosen, fewest = Counter({int(x): int(n) for x, n in histogram.items()}), Counter(), None
+
+    def use(config: Counter, times: int) -> int:
+        n = min(times, *(left[x] // m for x, m in config.items()))
+        if n > 0:
+            chosen[tuple(sorted(config.elements(), reverse=True))] += n
+            left.subtract({x: n * m for x, m in config.items()})
+        return max(n, 0)
+
+    for least, most in ((capacity // 2, capacity // 64), (0, slack)):
+        free = 0
+        while free <= most and max(+left, default=0) > least:
+            left = +left
+            used, took = solve(left, capacity, rounds, step)
+            n = 0
+            for config, times in sorted(used.items(), key=lambda c: (-c[1], c[0])):
+                if config[0] > least and sum(config) >= capacity - free:
+                    n += use(Counter(config), max(1, math.floor(times)))
+            for x in sorted((x for x in left if x > least), reverse=True):
+                config = _fill(took, capacity, x)
+                if sum(k * m for k, m in config.items()) >= capacity - free:
+                    n += use(config, left[x])
+            if n <= little * chosen.total():
+                free = 2 * free or 1
+            rest = _best_fit(+left, capacity)
+            if fewest is None or chosen.total() + rest.total() <= fewest[0].total():
+                fewest = chosen + rest, chosen.total()
+    return fewest or (_best_fit(+left, capacity), 0)
 
 
 def _slots(plans: Counter) -> dict[int, np.ndarray]:
@@ -174,7 +212,7 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, id_col: str =
     """
     cut = materialise(encode_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = _slots(plan(histogram, capacity))
+    slots = _slots(plan(histogram, capacity)[0])
     parts = max(1, math.ceil(max(histogram.values(), default=0) / group_rows))
     # a length can hold a third of all pieces: number it in hashed parts, each from where the part before ends
     keyed = cut.withColumn("part", bucket_of(parts, "doc_id", "piece"))
