@@ -56,6 +56,8 @@ def test_packing_round_trip(spark):
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
         assert sum(r.length for r in own) == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+    histogram = {x: int(n) for x, n in zip(*np.unique([r.length for r in rows], return_counts=True), strict=True)}
+    assert packing.plan(histogram, 2048)[0].total() == len({r.sequence_id for r in rows})
     ends = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == ends.get(r.sequence_id, 0)
@@ -64,6 +66,20 @@ def test_packing_round_trip(spark):
     assert packing.pack(_docs(spark, ["a"]).limit(0), tokenizer=public_path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_comes_from_the_program():
+    rng = np.random.default_rng(2)
+    pieces = np.concatenate([rng.integers(1, 300, 3000), rng.integers(300, 2049, 600)])
+    histogram = dict(zip(*(x.tolist() for x in np.unique(pieces, return_counts=True)), strict=True))
+    chosen, solved = packing.plan(histogram, 2048)
+    placed = {}
+    for config, n in chosen.items():
+        assert sum(config) <= 2048
+        for x in config:
+            placed[x] = placed.get(x, 0) + n
+    assert placed == histogram
+    assert solved >= 0.8 * chosen.total() and chosen.total() <= packing._best_fit(packing.Counter(histogram), 2048).total()
+
+
 def test_token_counts(spark):
     t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     rows = tokencount.token_counts(_docs(spark, ODD), tokenizer=public_path("byte_bpe_50k.json")).collect()
@@ -122,6 +138,32 @@ def test_main_text(spark):
     assert got == {1: "T & U\none two three\nfour", 2: "first own text", 3: "second one differs", 4: ""}
 
 
+def test_repeated_tokens_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        streams = [rng.integers(1, 4, rng.integers(0, 14)).astype(np.uint64) for _ in range(4)]
+        got = htmltext.repeated(streams, 3)
+        for i, own in enumerate(streams):
+            want = np.zeros(len(own), bool)
+            others = [tuple(x[k : k + 3].tolist()) for j, x in enumerate(streams) if j != i for k in range(len(x) - 2)]
+            for k in range(len(own) - 2):
+                if tuple(own[k : k + 3].tolist()) in others:
+                    want[k : k + 3] = True
+            assert got[i].tolist() == want.tolist()
+
+
+def test_marked_words_alone_remove_nothing(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "SHARD_PAGES", 2)
+    page = lambda i: (
+        f"<body><aside><article>teaser {i}</article></aside><article><h2 id='search-methods'>Search methods {i}</h2><p class='social-history'>Social history {i}"
+        f"<p class='share-this-now'>share this page with all of your dear friends<div class='cookie-notice'>we use {i}</div></article>"
+    )
+    rows = [(i, "http://h/x", page(i)) for i in range(9)] + [(20, "http://other/x", "<aside><main>no</main></aside><div>yes</div>")]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Search methods {i}\nSocial history {i}" for i in range(9)} | {20: "yes"}
+    assert htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+
+
 def test_chat_links_and_order(spark):
     call = lambda i, **a: "<tool_call>" + json.dumps({"id": i, "name": "search", "arguments": a}) + "</tool_call>"
     result = lambda i: "<tool_result>" + json.dumps({"id": i, "content": "r"}) + "</tool_result>"
