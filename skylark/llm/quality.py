@@ -13,15 +13,29 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on at most, and the pairs drawn from them.
 FIT_ROWS = 20_000
-FIT_PAIRS = 200_000
+FIT_PAIRS = 50_000
+#: Buckets of hashed letter trigrams beside the general features, and how much more their weights are held back.
+BUCKETS = 256
+LEXICAL_RIDGE = 0.3
 _UPPER, _LOWER, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 _STOPS, _SIGNS = b".,;:'\"()-", b"%$#&*|!<>{}[]=_~^\\/@+`?"
 _WIDE = bytes(range(128, 256))
-FEATURES = 20
+GENERAL = 14
+FEATURES = GENERAL + BUCKETS
 
 
-def features(text: str | None) -> list[float]:
-    """FEATURES numbers of a whole text, an empty one for null; all are shares or logarithms."""
+def trigrams(raw: bytes) -> np.ndarray:
+    """The square roots of the shares of hashed byte trigrams, A-Z in lower case, in BUCKETS buckets."""
+    x = np.frombuffer(raw.lower(), np.uint8).astype(np.uint32)
+    if len(x) < 3:
+        return np.zeros(BUCKETS)
+    h = x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return np.sqrt(np.bincount((h >> np.uint32(16)) % np.uint32(BUCKETS), minlength=BUCKETS) / len(h))
+
+
+def features(text: str | None) -> np.ndarray:
+    """FEATURES numbers of a whole text, an empty one for null: shares and logarithms of counts, then trigrams."""
     text = text or ""
     raw = text.encode()
     n = max(1, len(raw))
@@ -30,18 +44,11 @@ def features(text: str | None) -> list[float]:
     words = text.split()
     m = max(1, len(words))
     lines = [x for x in text.split("\n") if x.strip()]
-    distinct = len(set(words)) / m
-    repeats = sum(map(operator.eq, words, words[1:])) / m
-    doubled = 1 - len(set(lines)) / max(1, len(lines))
-    ends = sum(w[-1] in "%$#&*|!<>=_~^\\/@+?" for w in words) / m
-    lone = sum(map("|".__eq__, words)) / m
-    signs = share(_SIGNS)
-    first = lines[0].lower() if lines else ""
-    legal = float(any(x in first for x in ("rights reserved", "licen", "copyright")))
-    return [
-        upper / max(upper + lower, 1 / n), lower, share(_DIGIT), share(_STOPS), signs, share(_WIDE), min(signs * 10, 1.0), min(ends * 3, 1.0), min(lone * 3, 1.0),
-        distinct, min(repeats * 3, 1.0), float(repeats > 0.02), doubled, float(doubled > 0.1), np.log1p(n), np.log1p(len(words)), np.log1p(n / m), np.log1p(len(lines)), legal, float(not words),
+    general = [
+        upper / max(upper + lower, 1 / n), lower, share(_DIGIT), share(_STOPS), share(_SIGNS), share(_WIDE), len(set(words)) / m, sum(map(operator.eq, words, words[1:])) / m,
+        1 - len(set(lines)) / max(1, len(lines)), np.log1p(n), np.log1p(len(words)), np.log1p(n / m), np.log1p(len(lines)), float(not words),
     ]
+    return np.concatenate([general, trigrams(raw)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,12 +69,13 @@ def fit(x: np.ndarray, y: np.ndarray, *, cut: float, ridge: float = 1e-3, steps:
     w = np.zeros(FEATURES)
     if not len(good) or not len(bad):
         return {"mean": mean, "std": std, "w": w, "shift": 0.0}
+    held = ridge * np.where(np.arange(FEATURES) < GENERAL, 1.0, LEXICAL_RIDGE / ridge)
     rng = np.random.default_rng(seed)
     d = z[rng.choice(good, FIT_PAIRS)] - z[rng.choice(bad, FIT_PAIRS)]
     for _ in range(steps):  # Newton's method
         p = _sigmoid(d @ w)
-        gradient = d.T @ (p - 1) / len(d) + ridge * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(FEATURES)
+        gradient = d.T @ (p - 1) / len(d) + held * w
+        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + np.diag(held)
         move = np.linalg.solve(curve, gradient)
         w -= move / max(1.0, np.abs(move).max() / 2)
         if np.abs(move).max() < 1e-8:
@@ -79,6 +87,9 @@ def fit(x: np.ndarray, y: np.ndarray, *, cut: float, ridge: float = 1e-3, steps:
     wrong = [((strength[good] < c).sum() + (strength[bad] >= c).sum()) for c in cuts]
     least = np.flatnonzero(np.array(wrong) == min(wrong))
     threshold = float(cuts[least[len(least) // 2]])
+    # half way to the next strength below, so that no labelled row lies on it
+    below = strength[strength < threshold - 1e-6]
+    threshold = (threshold + float(below.max())) / 2 if len(below) else threshold
     return {"mean": mean, "std": std, "w": w, "shift": np.log(cut / (1 - cut)) - threshold}
 
 
@@ -95,9 +106,9 @@ def train(docs: DataFrame, labels: DataFrame, *, cut: float, id_col: str = "doc_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [features(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [features(t).astype(np.float32) for t in pdf["text"]]})
 
-    rows = picked.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas()
+    rows = picked.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, x array<float>").toPandas()
     rows = rows.sort_values("doc_id").drop_duplicates("doc_id")
     return fit(np.array(rows["x"].tolist(), float).reshape(-1, FEATURES), rows["quality"].to_numpy(int), cut=cut)
 
