@@ -30,20 +30,38 @@ LOOKALIKES = {
 }
 #: Characters that show nothing.
 UNSEEN = "­​‌‍⁠﻿"
-#: Digits as words.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Endings after which a bare "at ... dot ..." counts as an address.
-ENDINGS = ("com", "org", "net", "edu", "gov", "io", "co", "de", "fr", "es", "info", "uk", "eu")
+#: Digits as words in English, German, French and Spanish.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words for @ and the words for a dot that may follow them. After those of the second
+#: list, which are words of plain prose too, only an ending of ENDINGS makes an address.
+AT_WORDS = {"at": "dot", "arroba": "punto|dot", "arobase": "point|dot", "ät": "punkt|dot"}
+AT_PROSE = {"bei": "punkt", "chez": "point", "en": "punto"}
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+#: Endings that make an address of words of plain prose.
+ENDINGS = ("com", "org", "net", "edu", "gov", "io", "co", "de", "fr", "es", "info", "uk", "eu", "at", "ch", "it", "nl", "ru")
 
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![a-z]){_WORD}(?:[\s,-]+{_WORD}){{2,}}(?![a-z])")
-_ONE_WORD = re.compile(rf"(?i){_WORD}")
-_PLUS = re.compile(r"(?i)(?<![a-z])plus(?=\s+[0-9])\s+")
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*")
-_BARE = re.compile(rf"(?i)(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)*\s+dot\s+(?:{'|'.join(ENDINGS)})(?![a-z0-9]))")
-_BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])")
-_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}>]|\sdot\s")
+_SPELLED = re.compile(rf"(?i)(?<![^\W\d_]){_WORD}(?:[\s,-]+{_WORD}){{2,}}(?![^\W\d_])")
+_ONE_WORD = re.compile(rf"(?i){_WORD}(?![^\W\d_])")
+_PLUS = re.compile(r"(?i)(?<![^\W\d_])(?:plus|más)(?=\s+[0-9])\s+")
+_DOTS, _NAME = "(?:" + "|".join(DOT_WORDS) + ")", "[a-z0-9][a-z0-9_+-]*"
+_BRACKET_AT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{'|'.join([*AT_WORDS, *AT_PROSE])}|a|@)\s*[\])}}>]\s*")
+_BRACKET_DOT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{_DOTS}|\.)\s*[\])}}>]\s*")
+_NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOTS}\s+(?=[0-9])")
+_ADDRESS = re.compile("(?i)" + "|".join(
+    [rf"(?<![a-z0-9])(?:{_NAME}\s+(?:{d})\s+)*{_NAME}(?:\.{_NAME})*\s+{a}\s+[a-z0-9-]+(?:(?:\s+(?:{d})\s+|\.)[a-z0-9-]+)*\s+(?:{d})\s+[a-z]{{2,24}}(?![a-z0-9])" for a, d in AT_WORDS.items()]
+    + [rf"(?<![a-z0-9]){_NAME}(?:(?:\s+{d}\s+|\.){_NAME})*\s+{a}\s+[a-z0-9-]+(?:(?:\s+{d}\s+|\.)[a-z0-9-]+)*\s+{d}\s+(?:{'|'.join(ENDINGS)})(?![a-z0-9])" for a, d in AT_PROSE.items()]
+))
+_SPOKEN_DOTS = frozenset(DOT_WORDS)
+_SPOKEN_AT = re.compile(rf"(?i)\s+(?:{'|'.join([*AT_WORDS, *AT_PROSE])})\s+")
+_SPOKEN_DOT = re.compile(rf"(?i)\s+{_DOTS}\s+")
+_NEAR = re.compile(rf"(?i)@[a-z0-9-]+(?:(?:\s+{_DOTS}\s+|\.)[a-z0-9-]+)+")
+_BRACKETS = re.compile(rf"(?i)[\[({{<]\s*(?:{'|'.join([*AT_WORDS, *AT_PROSE, *DOT_WORDS])}|a|@|\.)\s*[\])}}>]")
 
 
 def _luhn(digits: str) -> bool:
@@ -119,27 +137,41 @@ def _plain(m: re.Match) -> str:
     return "".join(out)
 
 
-_FOREIGN = re.compile("[" + "".join(LOOKALIKES) + UNSEEN + "٠-٩۰-۹०-९⁰-₉①-⑨！-～\U0001d400-\U0001d7ff﹒﹫²³¹]")
+_FOREIGN = re.compile("[" + "".join(LOOKALIKES) + UNSEEN + "⁰-₉①-⑨！-～\U0001d400-\U0001d7ff﹒﹫²³¹]|(?![0-9])\\d")
+
+
+def _spoken_address(m: re.Match) -> str:
+    """user@host of a spoken address; its only @ stands for the last word for it, as a user's name comes first."""
+    at = list(_SPOKEN_AT.finditer(m[0]))[-1]
+    return _SPOKEN_DOT.sub(".", m[0][: at.start()]) + "@" + _SPOKEN_DOT.sub(".", m[0][at.end() :])
+
+
+#: The transducers after that of single characters, in their order; each keeps every character's source range.
+TRANSDUCERS = (
+    (_SPELLED, lambda m: "".join(DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[0]))),
+    (_PLUS, lambda m: "+"),
+    (_NUMBER_DOT, lambda m: "."),
+    (_BRACKET_AT, lambda m: "@"),
+    (_BRACKET_DOT, lambda m: "."),
+    (_ADDRESS, _spoken_address),
+    (_NEAR, lambda m: _SPOKEN_DOT.sub(".", m[0])),
+)
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), in source characters, of what the patterns find once disguises are undone."""
-    foreign = not text.isascii() and _FOREIGN.search(text) is not None
-    spelled = _SPELLED.search(text) is not None
-    worded = _HINT.search(text) is not None
+    foreign = not text.isascii() and _FOREIGN.search("".join(set(text))) is not None
+    words = text.lower().replace(",", " ").replace("-", " ").split()
+    # three digits as words in a row
+    spelled = b"\1\1\1" in bytes(map(DIGIT_WORDS.__contains__, words))
+    worded = not _SPOKEN_DOTS.isdisjoint(words) or any(c in text for c in "[({<") and _BRACKETS.search(text) is not None
     if not (foreign or spelled or worded):
         return []
     m = Mapped(text)
     if foreign:
         m.rewrite(_FOREIGN, _plain)
-    m.rewrite(_SPELLED, lambda x: "".join(DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(x[0])))
-    m.rewrite(_PLUS, lambda x: "+")
-    m.rewrite(_BRACKET_AT, lambda x: "@")
-    m.rewrite(_BRACKET_DOT, lambda x: ".")
-    m.rewrite(_BARE, lambda x: "@")
-    if "@" in m.text:
-        near = re.compile(r"(?i)@[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)+")
-        m.rewrite(near, lambda x: _BARE_DOT.sub(".", x[0]))
+    for pattern, to in TRANSDUCERS:
+        m.rewrite(pattern, to)
     return [(m.lo[s], kind, m.hi[e - 1]) for s, kind, e in base_spans(m.text)]
 
 
