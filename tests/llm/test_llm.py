@@ -1,9 +1,11 @@
 """The training-data operators against brute force, with nulls, ties, repeated rows, empty tables and clashing columns."""
 
 import json
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skylark.llm import balltree, chat, crosspolytope, htmltext, mixing, neardup, packing, pii, quality, tokencount
@@ -122,6 +124,32 @@ def test_personal_data(spark):
     assert masked[0].startswith("mail <email> or <phone>") and masked[2] is None
 
 
+def test_base_spans_against_the_plain_patterns():
+    rng = np.random.default_rng(6)
+    parts = ["a.b@c.de", "@", "x@y", "u+v@h-1.co.uk.", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "007.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "12", " ", "\n", "é", "+", "a@b.c@d.e", "5500000000000004"]
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(digits(x)) <= 19 and luhn(digits(x))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    ]
+    for _ in range(400):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)).tolist())
+        want = sorted((m.start(), kind, m.end()) for kind, (pattern, ok) in enumerate(rules) for m in re.finditer(pattern, text) if ok(m[0]))
+        assert pii.base_spans(text) == want
+
+
+def test_disguises_map_back_to_the_source(spark):
+    texts = {
+        "juan arroba ejemplo punto es": "email:0:28", "so hans bei beispiel punkt de": "email:3:29", "mail john dot smith at example dot com now": "email:5:38", "name at foo dot ru": "email:0:18",
+        "plus eins zwei drei vier fünf sechs sieben acht neun null": "phone:0:57", "ip 10 dot 0 dot 0 dot 1 ok": "ip:3:23", "+١٢٣٤٥٦٧٨٩٠": "phone:0:11", "look at this point we are": "", "x " * 200_000: "",
+    }
+    rows = [*texts, next(iter(texts))]
+    docs = _docs(spark, rows).withColumn("spans", F.lit(1)).withColumn("n_email", F.lit("x"))
+    assert {(r.doc_id, r.spans) for r in pii.find(docs).collect()} == {(i, texts[t]) for i, t in enumerate(rows)}
+    assert pii.find(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
 def test_mixture_holds_its_budget(spark):
     docs = _docs(spark, [None, "", *["w " * (5 + i % 7) for i in range(60)]])
     rows = mixing.mix(docs, levels=mix_levels(), weights=MIX_WEIGHTS, permille=500).collect()
@@ -173,3 +201,33 @@ def test_chat_links_and_order(spark):
     assert (got[1, 0].order_turn, got[1, 0].order_depth) == (1, 1) and (got[1, 1].order_turn, got[1, 1].n_linked) == (1, 1)
     assert got[1, 2].n_invalid == 1 and got[1, 4].n_orphans == 1 and got[None, 0].n_invalid == 1
     assert got[1, 3].message == '{"content":"","role":"user"}'
+    empty = spark.createDataFrame(rows[:1], "conv_id long, turn long, role string, text string").withColumn("message", F.lit(1)).limit(0)
+    assert chat.format_chats(empty, schema).count() == 0
+
+
+def test_chat_order_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows, needs, turns = [], {}, {}
+    for conv in range(12):
+        n = int(rng.integers(2, 9))
+        for i in range(n):
+            refs = [int(j) for j in rng.integers(0, n, 2) if rng.random() < 0.5]
+            at = rng.permutation(2 * n)[:2]
+            rows.append((conv, 2 * i, "assistant", "<tool_call>" + json.dumps({"id": f"c{i}", "name": "search", "arguments": {"query": [{"$result": f"c{j}"} for j in refs]}}) + "</tool_call>"))
+            rows.append((conv, 2 * i + 1, "tool", "<tool_result>" + json.dumps({"id": f"c{i}", "content": int(at[0])}) + "</tool_result>"))
+            needs[conv, 2 * i], needs[conv, 2 * i + 1] = {2 * j + 1 for j in refs}, {2 * i}
+    schema = {"search": {"type": "object", "properties": {"query": {"type": "array", "items": {"type": "string"}}}}}
+    doubled = spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string").withColumn("row", F.lit("clash"))
+    got = chat.format_chats(doubled.dropDuplicates(), schema).collect()
+    assert len(got) == len(rows) and all(r.n_invalid == 0 for r in got)
+    for conv in range(12):
+        own = {r.turn: r for r in got if r.conv_id == conv}
+        settled = {}
+        while True:  # brute force: a message follows all that it needs
+            new = {t: max([(t, 0), *((settled[b][0], settled[b][1] + 1) for b in needs[conv, t])]) for t in own if t not in settled and needs[conv, t] <= settled.keys()}
+            if not new:
+                break
+            settled |= new
+        assert {t for t, r in own.items() if r.cyclic} == own.keys() - settled.keys()
+        place = {t: (r.order_turn, r.order_depth, t) for t, r in own.items()}
+        assert all(place[b] < place[t] for t in settled for b in needs[conv, t])
