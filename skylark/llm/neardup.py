@@ -82,18 +82,18 @@ def fine_sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def fine_near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, ratio: float) -> np.ndarray:
-    """Which pairs of sketches (rows), or of their first bins, can belong to sets as similar as ``ratio``, given the sum of their sizes.
+def fine_near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sketches (rows), or of their first bins, which can belong to sets as similar as ``ratio``, given the sum of their sizes, and how much they agree.
 
-    Bins are drawn from the union without replacement, so the spread falls to nothing for sets that
-    fit into the bins.
+    The hashes in the bins are drawn from the union without replacement, so the spread falls to
+    nothing for sets that fit into them.
     """
     used = ((x | y) != 0).sum(1)
     same = ((x == y) & (x != 0)).sum(1)
-    union = np.maximum(sizes / (1 + ratio) * (x.shape[1] / BINS), used)
+    union = np.maximum(sizes / (1 + ratio), used)
     rest = np.maximum(union - 1, 1)
     spread = np.sqrt(ratio * (1 - ratio) * np.maximum((1 + 1 / rest) / np.maximum(used, 1) - 1 / rest, 0))
-    return same >= (ratio - SPREAD * spread) * used - 1
+    return same >= (ratio - SPREAD * spread) * used - 1, same / np.maximum(used, 1)
 
 
 def _batches(batches: Iterator[pd.DataFrame], words: int, rows: int = 256) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -245,11 +245,11 @@ def _all_pairs(starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> Ite
             yield np.repeat(i, len(j)), np.tile(j, len(i))
 
 
-def _links(pdf: pd.DataFrame, ratio: float) -> pd.DataFrame:
-    """Pairs between different components of whole regions whose sizes and sketches allow for a link.
+def _links(pdf: pd.DataFrame, ratio: float, best: bool) -> pd.DataFrame:
+    """Pairs (a, b, score) between different components of whole regions whose sizes and sketches allow for a link.
 
     Of a pair that several whole regions hold, only the first tree in which both share the shortest
-    prefix tells.
+    prefix tells. With ``best``, of each a only the pair that agrees most, told both ways.
     """
     rep, comp, tree, whole, size = (pdf[c].to_numpy() for c in ("rep", "comp", "tree", "whole", "n_shingles"))
     fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(len(pdf), BINS)
@@ -265,19 +265,26 @@ def _links(pdf: pd.DataFrame, ratio: float) -> pd.DataFrame:
     for i, j in _all_pairs(starts, sizes, firsts):
         ok = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
+        score = np.zeros(0)
         for part, step in ((coarse, 100_000), (fine, 20_000)):
             cuts = np.array_split(np.arange(len(i)), len(i) // step + 1)
-            ok = np.concatenate([fine_near(part[i[k]], part[j[k]], size[i[k]] + size[j[k]], ratio) for k in cuts])
-            i, j = i[ok], j[ok]
+            ok, score = (np.concatenate(x) for x in zip(*(fine_near(part[i[k]], part[j[k]], size[i[k]] + size[j[k]], ratio) for k in cuts), strict=True))
+            i, j, score = i[ok], j[ok], score[ok]
         shared = (heads[i] == heads[j]).all(2)
         ok = ~whole[i] | (shared.argmax(1) >= tree[i])
-        found.append((rep[i[ok]], rep[j[ok]]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        i, j, score = i[ok], j[ok], score[ok]
+        if best:
+            i, j, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([score, score])
+            order = np.lexsort((rep[j], -score, i))
+            order = order[np.concatenate([[True], np.diff(i[order]) != 0])] if len(order) else order
+            i, j, score = i[order], j[order], score[order]
+        found.append((rep[i], rep[j], score))
+    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pd.DataFrame({"a": a, "b": b, "score": score}) if best else pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
 
 
-def across(members: DataFrame, reps: DataFrame, comps: DataFrame, ratio: float) -> DataFrame:
-    """(a, b): all pairs of a region, between components, whose sketches can belong to a link.
+def across(members: DataFrame, reps: DataFrame, comps: DataFrame, ratio: float, best: bool) -> DataFrame:
+    """(a, b): all pairs of a region, between components, whose sketches can belong to a link, or of each member the ``best`` one.
 
     Sets whose sizes differ by more than ``ratio`` cannot be that similar, and regions of a single
     component are not read.
@@ -295,13 +302,16 @@ def across(members: DataFrame, reps: DataFrame, comps: DataFrame, ratio: float)
             last = pdf["region"] == pdf["region"].iat[-1]
             kept = pdf[last]  # the next batch may go on with it
             if not last.all():
-                yield _links(pdf[~last], ratio)
+                yield _links(pdf[~last], ratio, best)
         if kept is not None:
-            yield _links(kept, ratio)
+            yield _links(kept, ratio, best)
 
     full = own.join(reps.select("rep", "n_shingles", "sig", "fine"), "rep").select("tree", "region", "side", "whole", "rep", "comp", "n_shingles", "sig", "fine")
     n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "region").sortWithinPartitions("region", "side", "rep").mapInPandas(run, "a long, b long").distinct()
+    pairs = full.repartition(n, "region").sortWithinPartitions("region", "side", "rep").mapInPandas(run, "a long, b long, score double")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.select("a", "b").distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -333,9 +343,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80, id_co
     shingles of ``words`` words, or the whole of a shorter text. Documents are linked if 100 *
     intersection >= percent * union; component_id is the smallest id that a document reaches and
     kept marks it. Equal sets are one class, whatever their number. Candidates come from the forest:
-    first each one's neighbours in some sorted orders, which share the longest prefixes with it; then
-    all pairs that no link joins yet within regions as deep as their sizes ask for; at last, of
-    regions that are large at their shortest prefix, all pairs that no link joins yet. Pairs whose
+    first each one's neighbours in some sorted orders, which share the longest prefixes with it; then,
+    within regions as deep as their sizes ask for, in two rounds each one's best neighbour of another
+    component and in a third all pairs that no link joins yet; at last, of regions that are large at
+    their shortest prefix, all pairs that no link joins yet. Pairs whose
     sketches cannot belong to a link are left out and all others confirmed on full sets. So a pair
     just at the threshold is lost only if no tree has its first hashes equal, or by its sketch.
 
@@ -356,9 +367,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, percent: int = 80, id_co
     seen = written(in_order(members), "candidates")
     links = written(confirm(seen, sets, percent), "links")
     comps = written(components(links), "components")
-    for last in (False, True):
-        near = blocks(members, comps) if last else regions(members)
-        more = written(across(near, reps, comps, ratio).join(seen, ["a", "b"], "left_anti"), "candidates")
+    for best, near in ((True, regions), (True, regions), (False, regions), (False, blocks)):
+        near = blocks(members, comps) if near is blocks else regions(members)
+        more = written(across(near, reps, comps, ratio, best).join(seen, ["a", "b"], "left_anti"), "candidates")
         found = written(confirm(more, sets, percent), "links")
         if not found.isEmpty():
             links = links.unionByName(found)

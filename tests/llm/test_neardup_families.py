@@ -50,3 +50,16 @@ def test_blocks_hold_every_pair_of_different_components(spark, monkeypatch):
     comp = [0 if i < 30 else i // 5 * 5 for i in range(60)]
     want = {(i, j) for j in range(60) for i in range(j) if comp[i] != comp[j]}
     assert want <= got and len([p for p in got if comp[p[0]] == comp[p[1]] == 0]) == 0
+
+
+def test_sketches_let_links_at_the_threshold_through():
+    rng = np.random.default_rng(5)
+    lost = {neardup.COARSE: 0, neardup.BINS: 0}
+    for n in (20, 60, 160, 1000):
+        for _ in range(500):
+            both, k = rng.integers(0, 2**64, n, np.uint64), n // 10
+            x, y = np.sort(both[: n - k]), np.sort(both[k:])  # 8 of 10 in common
+            f = [neardup.fine_sketch(s)[None] for s in (x, y)]
+            for bins in lost:
+                lost[bins] += not neardup.fine_near(f[0][:, :bins], f[1][:, :bins], np.array([len(x) + len(y)]), 0.8)[0][0]
+    assert max(lost.values()) <= 1
