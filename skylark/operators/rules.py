@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylark.functions.text import ant_regex
+from skylark.functions.text import ant_match, segments
+
+
+def matching(endpoints: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every rule of an endpoint's service whose ant pattern fits its route, with the precision of the fit.
+
+    Rules meet endpoints by service and first segment, or, where the pattern begins with a wildcard or
+    either side with a hole, by service alone.
+    """
+    wild = r"[*?{]"
+    first = lambda c: F.get(segments(F.col(c)), F.lit(0))
+    e = endpoints.select("endpoint_id", "service_id", "uri", F.coalesce(first("uri"), F.lit("")).alias("head"))
+    r = rules.withColumn("lead", F.coalesce(first("pattern"), F.lit(""))).withColumn("open", F.col("lead").rlike(wild))
+    named = e.where(~F.col("head").startswith("{")).join(r.where("NOT open").withColumnRenamed("service_id", "_s"), (F.col("service_id") == F.col("_s")) & (F.col("head") == F.col("lead"))).drop("_s")
+    holed = e.where(F.col("head").startswith("{")).join(r.where("NOT open"), "service_id")
+    loose = e.join(r.where("open"), "service_id")
+    met = named.unionByName(holed).unionByName(loose).withColumn("precision", ant_match(F.col("pattern"), F.col("uri")))
+    return met.where("precision IS NOT NULL").drop("head", "lead", "open")
 
 
 def governing(endpoints: DataFrame, rules: DataFrame) -> DataFrame:
-    """(endpoint_id, rule_id, access, is_read): all rules up to the first read one that matches.
+    """(endpoint_id, rule_id, access, is_read, precision): all rules up to the first that decides.
 
     endpoints: endpoint_id, service_id, uri; rules: rule_id, service_id, ord, pattern, access,
-    is_read. A rule that matches and was read stops the walk; one that was not read is a fork and
-    stays beside what follows.
+    is_read. A rule that was read and fits exactly stops the walk; one that was not read, or fits some
+    requests only, is a fork and stays beside what follows.
     """
-    met = endpoints.select("endpoint_id", "service_id", "uri").join(rules, "service_id").where(F.rlike(F.col("uri"), ant_regex(F.col("pattern"))))
-    w = Window.partitionBy("endpoint_id")
-    stop = F.min(F.when(F.col("is_read"), F.col("ord"))).over(w)
-    return met.withColumn("stop", stop).where("stop IS NULL OR ord <= stop").select("endpoint_id", "rule_id", "access", "is_read")
+    met = matching(endpoints, rules)
+    stop = F.min(F.when(F.col("is_read") & (F.col("precision") == "exact"), F.col("ord"))).over(Window.partitionBy("endpoint_id"))
+    return met.withColumn("stop", stop).where("stop IS NULL OR ord <= stop").select("endpoint_id", "rule_id", "access", "is_read", "precision")
 
 
 def verdict(governing_rules: DataFrame, endpoints: DataFrame) -> DataFrame:

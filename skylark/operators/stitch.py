@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylark.functions.text import HOLE, is_external, segments, url_host, url_path
+from skylark.functions import text as X
+from skylark.functions.text import HOLE, segments
+from skylark.sources.shared import written
+
+#: Names of the own machine, and the number of gateways that forward one call at most.
+LOOPBACK, GATEWAYS = ("localhost", "127.0.0.1", "0.0.0.0"), 4
 
 
 def stitchable(calls: DataFrame) -> DataFrame:
@@ -48,57 +53,177 @@ def longest_prefix(calls: DataFrame, routes: DataFrame, key: list[str]) -> DataF
 
 
 def match_paths(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Every endpoint that a call's path and verb can land on, with quality.
+    """Every endpoint that a call's path and verb can land on; endpoint_id is NULL where there is none.
 
-    calls: call_id, target_id, path, http_verb; endpoints: endpoint_id, service_id, http_method, uri.
-    Equal service and segment count make the join an equi-join; the segments are compared within it.
-    A hole on either side fits anything; a hole in the call against a literal is heuristic.
+    calls: target_id, path, http_verb; endpoints: endpoint_id, service_id, http_method, uri. Equal
+    service and segment count make the join an equi-join; the segments are compared within it. An
+    endpoint's hole fits anything; a hole of the call against a literal is a guess. An unknown verb
+    fits any method.
     """
-    c = calls.withColumn("cs", segments(F.col("path"))).withColumn("n", F.size("cs"))
-    e = endpoints.select(F.col("service_id").alias("target_id"), "endpoint_id", "http_method", segments(F.col("uri")).alias("es")).withColumn("n", F.size("es"))
+    c = calls.withColumn("cs", segments(X.simplify_uri(F.col("path")))).withColumn("n", F.size("cs"))
+    e = endpoints.select(F.col("service_id").alias("_service"), "endpoint_id", "http_method", segments(F.col("uri")).alias("es")).withColumn("_n", F.size("es"))
     fits = F.forall(F.zip_with("cs", "es", lambda a, b: (b == HOLE) | (a == HOLE) | (a == b)), lambda x: x)
+    verb = F.col("http_verb").isNull() | (F.col("http_verb") == F.col("http_method"))
+    met = c.join(e, (F.col("target_id") == F.col("_service")) & (F.col("n") == F.col("_n")) & verb & fits, "left")
     guess = F.exists(F.zip_with("cs", "es", lambda a, b: (b != HOLE) & (a == HOLE)), lambda x: x)
-    met = c.join(e, ["target_id", "n"]).where(fits & (F.col("http_verb").isNull() | (F.col("http_verb") == F.col("http_method"))))
-    return met.withColumn("quality", F.when(guess, "heuristic").otherwise("exact")).drop("cs", "es", "n")
+    return met.withColumn("guess", guess).drop("cs", "es", "n", "_n", "_service")
+
+
+def env_maps(env: DataFrame) -> DataFrame:
+    """(service_id, env): each service's settings (service_id, key, value) as a map; of repeated keys the largest value."""
+    return env.groupBy("service_id", "key").agg(F.max("value").alias("value")).groupBy("service_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("env"))
+
 
+def host_book(services: DataFrame, forwarding: DataFrame | None) -> DataFrame:
+    """(host, ids, ports, gateway): who answers to a host in the first namespace that knows it, and the gateway if it is one only."""
+    book = phone_book(services).where("host <> ''").join(services.select("service_id", "port"), "service_id")
+    own = book.groupBy("host", "prio").agg(F.sort_array(F.collect_set("service_id")).alias("ids"), F.sort_array(F.collect_set(F.struct("service_id", "port"))).alias("ports"))
+    first = own.groupBy("host").agg(F.min(F.struct("prio", "ids", "ports")).alias("b")).select("host", "b.ids", F.col("b.ports.port").alias("ports"))
+    if forwarding is None:
+        return first.withColumn("gateway", F.lit(None).cast("long"))
+    gates = forwarding.select(F.col("service_id").alias("_g"), F.col("service_id").alias("gateway")).distinct()
+    return first.join(gates, (F.size("ids") == 1) & (F.get("ids", F.lit(0)) == F.col("_g")), "left").drop("_g")
 
-def stitch(calls: DataFrame, services: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """One row or more for every stitchable call.
 
-    Returns call_id, service_id, target_kind (endpoint, external, placeholder, undetermined),
-    target_service_id, target_endpoint_id, external_host, confidence, reason. Ambiguous hosts and
-    paths keep all their candidates at heuristic confidence; a call is never lost.
+def resolved(calls: DataFrame, book: DataFrame, services: DataFrame) -> DataFrame:
+    """Calls (host, port, path) with ids (NULL for an unknown host), ambiguous, mismatch, indirect, guessed, gateway.
+
+    A host is looked up as it is, else as a cluster's DNS name, else, on the own machine or an
+    address, by a port that one service alone has.
+    """
+    known = ["ids", "ports", "gateway"]
+    c = calls.withColumn("host", F.lower(F.trim("host"))).withColumn("_short", X.kubernetes_name(F.col("host")))
+    c = c.join(book, "host", "left")
+    short = book.select(F.col("host").alias("_short"), F.col("ids").alias("_ids"), F.col("ports").alias("_ports"))
+    c = c.withColumn("_short", F.when(F.col("ids").isNull(), F.col("_short"))).join(short, "_short", "left")
+    owners = services.where("port IS NOT NULL").groupBy("port").agg(F.count("*").alias("n"), F.min("service_id").alias("_owner")).where("n = 1").select(F.col("port").alias("_port"), "_owner")
+    local = F.coalesce("ids", "_ids").isNull() & (F.col("host").isin(*LOOPBACK) | X.is_ip(F.col("host")))
+    c = c.withColumn("_port", F.when(local, F.col("port"))).join(owners, "_port", "left")
+    other = F.col("port").isNotNull() & F.forall(F.coalesce("ports", "_ports"), lambda p: p.isNotNull() & (p != F.col("port")))
+    ids = F.coalesce("ids", "_ids")
+    return c.select(
+        *[x for x in c.columns if x not in known and not x.startswith("_")], F.coalesce(ids, F.when(F.col("_owner").isNotNull(), F.array("_owner"))).alias("ids"), "gateway",
+        F.coalesce(F.size(ids) > 1, F.lit(False)).alias("ambiguous"), F.coalesce(other, F.lit(False)).alias("mismatch"),
+        (F.col("_ids").isNotNull() & X.two_labels(F.col("host"))).alias("indirect"), F.col("_owner").isNotNull().alias("guessed"),
+    )
+
+
+def forwarded(calls: DataFrame, book: DataFrame, services: DataFrame, routes: DataFrame, locators: DataFrame) -> DataFrame:
+    """Resolved calls that gateways forward, resolved again at their targets.
+
+    routes: service_id, ord, prefix, target_uri, strip; locators: service_id. The longest route whose
+    segments begin the path decides, of equal ones the first; without one, a locator takes the first
+    segment as a discovery name, unless it is a hole. What nothing forwards stays as it is. The path
+    that counts is the first gateway's.
+    """
+    r = routes.select(F.col("service_id").alias("_g"), "ord", segments(F.regexp_replace(F.regexp_replace("prefix", r"\*+$", ""), "/+$", "")).alias("pre"), "target_uri", "strip")
+    names = services.where("trim(app_name) <> ''").groupBy(F.lower(F.trim("app_name")).alias("_name")).agg(F.sort_array(F.collect_set("service_id")).alias("_named"))
+    fixed = ["ids", "ambiguous", "mismatch", "indirect", "guessed"]
+    todo, out = calls.withColumn("via", F.lit(False)).withColumn("out_path", F.col("path")).withColumn("name", F.col("host")), None
+    add = lambda df: df if out is None else out.unionByName(df)
+    for _ in range(GATEWAYS):
+        todo = written(todo, "resolved")
+        out = add(todo.where("gateway IS NULL"))
+        todo = todo.where("gateway IS NOT NULL")
+        if todo.isEmpty():
+            return out
+        segs = segments(F.col("path"))
+        met = todo.join(r, (F.col("gateway") == F.col("_g")) & (F.size("pre") <= F.size(segs)) & (F.slice(segs, F.lit(1), F.size("pre")) == F.col("pre")), "left")
+        best = F.max_by(F.struct("pre", "target_uri", "strip"), F.struct(F.size("pre"), -F.col("ord"))).alias("route")
+        keys = [c for c in todo.columns]
+        met = met.groupBy(*keys).agg(best).join(locators.select(F.col("service_id").alias("gateway"), F.lit(True).alias("_locates")), "gateway", "left")
+        rewritten = X.strip_segments(F.col("path"), F.col("route.strip"))
+        by_route = met.where("route.target_uri IS NOT NULL").withColumn("path", rewritten).withColumn("out_path", F.when(F.col("via"), F.col("out_path")).otherwise(F.col("path"))).withColumn("via", F.lit(True))
+        to = F.trim("route.target_uri")
+        target = r"^[a-z][a-z0-9+.-]*://([^/:]+)(?::([0-9]+))?"
+        by_route = by_route.withColumn("_to", F.nullif(F.regexp_extract(to, target, 1), F.lit(""))).withColumn("_toport", F.nullif(F.regexp_extract(to, target, 2), F.lit("")).try_cast("int")).withColumn("name", F.lower(F.trim(F.coalesce("_to", to))))
+        lost = by_route.where("_to IS NULL").withColumn("ids", F.lit(None).cast("array<long>")).withColumn("gateway", F.lit(None).cast("long"))
+        lost = lost.withColumn("ambiguous", F.lit(False)).withColumn("mismatch", F.lit(False)).withColumn("guessed", F.lit(False)).withColumn("indirect", F.lit(False))
+        out = out.unionByName(lost.select(keys))
+        again = by_route.where("_to IS NOT NULL").withColumn("host", F.col("_to")).withColumn("port", F.col("_toport")).select(*[c for c in keys if c not in (*fixed, "gateway")])
+        # the name is the last hop's; a forwarded call is high at best, not more for an inferred name
+        again = resolved(again, book, services).withColumn("indirect", F.lit(False))
+        rest = met.where("route.target_uri IS NULL")
+        first = F.lower(F.trim(F.get(segs, F.lit(0))))
+        named = F.col("_locates").isNotNull() & (F.size(segs) >= 2) & ~first.contains(HOLE) & ~first.contains("${")
+        rest = rest.withColumn("_name", F.when(named, first)).join(names, "_name", "left")
+        short = X.strip_segments(F.col("path"), F.lit(1))
+        rest = rest.withColumn("out_path", F.when(F.col("_name").isNull() | F.col("via"), F.col("out_path")).otherwise(short)).withColumn("via", F.col("via") | F.col("_name").isNotNull())
+        rest = rest.withColumn("ids", F.when(F.col("_name").isNull(), F.col("ids")).otherwise(F.col("_named"))).withColumn("name", F.coalesce("_name", "name"))
+        rest = rest.withColumn("ambiguous", F.when(F.col("_name").isNull(), F.col("ambiguous")).otherwise(F.coalesce(F.size("_named") > 1, F.lit(False)))).withColumn("mismatch", F.col("mismatch") & F.col("_name").isNull())
+        out = out.unionByName(rest.withColumn("gateway", F.lit(None).cast("long")).select(keys))
+        todo = again.select(keys)
+    return add(todo)
+
+
+def stitch(calls: DataFrame, services: DataFrame, endpoints: DataFrame, env: DataFrame | None = None, routes: DataFrame | None = None, locators: DataFrame | None = None) -> DataFrame:
+    """One row or more for every stitchable call.
+
+    calls: call_id, service_id, url, http_verb, and if there are any url_confidence and evidence; env:
+    service_id, key, value; routes and locators: see ``forwarded``. Returns call_id, service_id,
+    target_kind (endpoint, external, placeholder, undetermined), target_service_id, target_endpoint_id,
+    candidate_id, external_host, confidence, provenance, reason. Each service that a host may stand for is a candidate
+    of its own: all its endpoints that fit, else one undetermined row with it as candidate_id. Confidence is the
+    weakest of the URL's, the host's and the path's; a call is never lost.
     """
-    own = stitchable(calls).withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
-    none = lambda kind: F.lit(None).cast(kind)
-
-    def rows(df: DataFrame, kind: str, service, endpoint, host, confidence, reason) -> DataFrame:
-        return df.select(
-            "call_id", "service_id", F.lit(kind).alias("target_kind"), service.alias("target_service_id"), endpoint.alias("target_endpoint_id"),
-            host.alias("external_host"), confidence.alias("confidence"), reason.alias("reason"),
-        )
-
-    no_url = own.where("url IS NULL")
-    unparsed = own.where("url IS NOT NULL AND host = ''")
-    hosted = own.where("url IS NOT NULL AND host <> ''")
-    book = resolve_hosts(hosted, phone_book(services)).select("host", F.col("service_id").alias("target_id"), "n_claims")
-    placed = hosted.join(book, "host", "left")
-    unknown = placed.where("target_id IS NULL")
-    known = placed.where("target_id IS NOT NULL")
-    met = match_paths(known, endpoints)
-    # one call that fits several endpoints is as uncertain as a host that several services claim
-    n = met.groupBy("call_id").agg(F.count("*").alias("n_met"))
-    met = met.join(n, "call_id")
-    sure = F.when((F.col("n_claims") > 1) | (F.col("n_met") > 1) | (F.col("quality") == "heuristic"), "heuristic").otherwise("exact")
-    missed = known.join(met.select("call_id").distinct(), "call_id", "left_anti").select("call_id", "service_id").distinct()
-    return (
-        rows(met, "endpoint", F.col("target_id"), F.col("endpoint_id"), none("string"), sure, none("string"))
-        .unionByName(rows(missed, "undetermined", none("long"), none("long"), none("string"), F.lit("none"), F.lit("no-endpoint-match")))
-        .unionByName(rows(unknown.where(is_external(F.col("host"))), "external", none("long"), none("long"), F.col("host"), F.lit("exact"), none("string")))
-        .unionByName(rows(unknown.where(~is_external(F.col("host"))), "placeholder", none("long"), none("long"), F.col("host"), F.lit("heuristic"), none("string")))
-        .unionByName(rows(no_url, "undetermined", none("long"), none("long"), none("string"), F.lit("none"), F.lit("url-undetermined")))
-        .unionByName(rows(unparsed, "undetermined", none("long"), none("long"), none("string"), F.lit("none"), F.lit("url-unparseable")))
-    )
+    own = stitchable(calls)
+    own = own if "url_confidence" in own.columns else own.withColumn("url_confidence", F.lit("exact"))
+    own = own if "evidence" in own.columns else own.withColumn("evidence", F.lit(None).cast("string"))
+    spec = F.col("url")
+    maps = None if env is None else env_maps(env)
+    if maps is not None:
+        own = own.join(maps, "service_id", "left").withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>")))
+        # four times, for keys within the values of keys
+        spec = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.col("url"), lambda text, _: X.expand_keys(text, F.col("env")))
+        spec = F.when(F.col("url").contains("${"), spec).otherwise(F.col("url"))
+    own = own.withColumn("_at", X.url_parts(spec)).select("call_id", "service_id", "http_verb", "url", "url_confidence", "evidence", "_at.*")
+    forwarding = None
+    if routes is not None or locators is not None:
+        none = services.limit(0)
+        routes = routes if routes is not None else none.selectExpr("service_id", "0 AS ord", "'' AS prefix", "'' AS target_uri", "0 AS strip")
+        locators = locators if locators is not None else none.select("service_id")
+        forwarding = routes.select("service_id").union(locators.select("service_id"))
+    book = host_book(services, forwarding)
+    placed = resolved(own, book, services)
+    if forwarding is not None:
+        placed = forwarded(placed, book, services, routes, locators)
+    else:
+        placed = placed.withColumn("via", F.lit(False)).withColumn("out_path", F.col("path")).withColumn("name", F.col("host"))
+    placed = placed.withColumn("target_id", F.explode_outer("ids")).withColumn("path", F.col("out_path"))
+    if maps is not None:
+        contexts = maps.select(F.col("service_id").alias("target_id"), X.context_path(F.col("env")).alias("context")).where("context <> ''")
+        placed = placed.join(contexts, "target_id", "left")
+        inside = F.startswith(F.col("path"), F.concat("context", F.lit("/")))
+        placed = placed.withColumn("path", F.when(inside, F.substring("path", F.length("context") + 1, F.length("path"))).when(F.col("path") == F.col("context"), "/").otherwise(F.col("path")))
+    met = match_paths(placed, endpoints)
+    unsure = F.col("ambiguous") | (F.col("guessed") & ~F.col("via"))
+    tier = X.host_tier(F.col("indirect"), unsure, F.col("via") | F.col("mismatch"))
+    external = X.is_ip(F.col("host")) | X.is_external(F.col("host"))
+    kind = (
+        F.when(F.col("host").isNull(), "undetermined").when(F.col("endpoint_id").isNotNull(), "endpoint").when(F.col("target_id").isNotNull(), "undetermined")
+        .when(F.col("via"), "placeholder").when(external, "external").otherwise("placeholder")
+    )
+    met = met.withColumn("target_kind", kind).withColumn("bare", (F.col("target_kind") == "placeholder") & ~F.col("via"))
+    weak = X.weakest(F.col("url_confidence"), tier, X.path_tier(F.col("guess"), F.col("http_verb").isNotNull()))
+    confidence = (
+        F.when(F.col("target_kind") == "endpoint", weak).when(F.col("target_kind") == "external", F.col("url_confidence")).when(F.col("bare"), "heuristic")
+        .when(F.col("target_kind") == "placeholder", X.weakest(F.col("url_confidence"), tier)).otherwise("none")
+    )
+    provenance = (
+        F.when(F.col("target_kind") == "undetermined", "machine-proven").when(F.col("target_kind") == "external", F.when(F.col("url_confidence") == "exact", "machine-proven").otherwise("heuristic"))
+        .when(F.col("bare") | unsure | ((F.col("target_kind") == "endpoint") & (F.col("confidence") == "heuristic")), "heuristic").otherwise("config-resolved")
+    )
+    says = lambda text: F.coalesce(F.contains("evidence", F.lit(text)), F.lit(False))
+    reason = F.when(F.col("target_kind") == "undetermined", (
+        F.when(F.col("target_id").isNotNull(), "no-endpoint-match")
+        .when(F.col("url").isNull() & says("lombok-generated interior"), "lombok-generated-interior").when(F.col("url").isNull() & says("slice-budget-truncated"), "slice-budget-truncated")
+        .when(F.col("url").isNotNull() & says("base-undetermined"), "base-undetermined").otherwise(F.coalesce(X.marker(F.col("evidence")), F.when(F.col("url").isNull(), "url-undetermined").otherwise("url-unparseable")))
+    ))
+    named = F.when(F.col("target_kind") == "external", F.concat("host", F.when(F.col("port").isNotNull(), F.concat(F.lit(":"), F.col("port").cast("string"))).otherwise(""))).when(F.col("target_kind") == "placeholder", F.col("name"))
+    return met.withColumn("confidence", confidence).select(
+        "call_id", "service_id", "target_kind", F.when(F.col("target_kind") == "endpoint", F.col("target_id")).alias("target_service_id"), F.col("endpoint_id").alias("target_endpoint_id"),
+        F.when(F.col("target_kind") == "undetermined", F.col("target_id")).alias("candidate_id"), named.alias("external_host"), "confidence", provenance.alias("provenance"), reason.alias("reason"),
+    )
 
 
 def totals(edges: DataFrame, column: str, vocabulary: tuple[str, ...]) -> DataFrame:

@@ -2,61 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylark.functions import text as X
 from skylark.operators import access, coverage, graph, measure, reads, rules, stitch
-from skylark.plans.synthetic import view, with_views
+from skylark.plans import scalars, stitching  # noqa: F401
+from skylark.plans.catalog import ORACLES, QUERIES, Views, query  # noqa: F401
 from skylark.sources import tables
 from skylark.streaming import queue
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Views:
-    """Tables and synthetic views of one folder as attributes."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+big = lambda c: F.col(c).cast("long").alias(c)
 
+# ---- scalar functions
 
-def query(name: str, sql: str | None = None):
-    """Register f(views) under a name, with the SQL that gives the same rows."""
+_SEGMENTS = """'/' || array_to_string(list_transform(list_filter(string_split(p, '/'), lambda s: s <> ''),
+  lambda s: CASE WHEN regexp_matches(s, '^\\{[^/{}]*(:[^{}]*)?\\}$') OR regexp_matches(s, '^:[A-Za-z_][A-Za-z0-9_]*$') THEN '{?}' ELSE s END), '/')"""
 
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if sql:
-            ORACLES[name] = with_views(sql)
-        return f
+@query("f01_simplify_uri", rf"""
+WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT endpoint_id + 1000000, concat(uri, '/:id?x=', endpoint_id) FROM syn_endpoint UNION ALL SELECT endpoint_id + 2000000, concat('http://h/', uri, '/{{id:[0-9]+}}#f') FROM syn_endpoint),
+c AS (SELECT *, CASE WHEN contains(trim(url), '://') THEN regexp_extract(trim(url), '://[^/?#]*([^?#]*)', 1) ELSE regexp_replace(regexp_replace(trim(url), '(^|[^{{])\?.*$', '\1'), '#.*$', '') END AS p FROM u)
+SELECT page_id, url, {_SEGMENTS} AS simplified, TRUE AS stable FROM c""")
+def _(v):
+    e = v.syn_endpoint
+    u = v.pages.select("page_id", "url").union(e.select(F.col("endpoint_id") + 1000000, F.concat("uri", F.lit("/:id?x="), F.col("endpoint_id").cast("string")))).union(e.select(F.col("endpoint_id") + 2000000, F.concat(F.lit("http://h/"), "uri", F.lit("/{id:[0-9]+}#f"))))
+    s = X.simplify_uri(F.col("url"))
+    return u.select("page_id", "url", s.alias("simplified"), (X.simplify_uri(s) == s).alias("stable"))
 
-    return add
 
+_PARTS = "(?i)^(?:[a-z][a-z0-9+.-]*://)?([^/:?#]+)(?::([0-9]+))?(/.*)?$"
 
-big = lambda c: F.col(c).cast("long").alias(c)
 
-# ---- scalar functions
-
-@query("f01_simplify_uri", r"""
-SELECT page_id, url, '/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda s: s <> ''),
-  lambda s: CASE WHEN regexp_matches(s, '^\{[^/{}]*(:[^{}]*)?\}$') OR regexp_matches(s, '^:[A-Za-z_][A-Za-z0-9_]*$') THEN '{?}' ELSE s END), '/') AS simplified FROM pages""")
+@query("f05_url_parts", f"""
+WITH u AS (SELECT call_id, trim(url) AS u FROM syn_remote WHERE url IS NOT NULL), m AS (SELECT *, regexp_extract(u, '{_PARTS}', 1) AS h FROM u),
+k AS (SELECT *, u <> '' AND NOT starts_with(u, '/') AND h <> '' AND NOT contains(h, '{{') AND NOT contains(h, '$') AS known FROM m)
+SELECT call_id, CASE WHEN known THEN h END AS host, CASE WHEN known THEN TRY_CAST(nullif(regexp_extract(u, '{_PARTS}', 2), '') AS INTEGER) END AS port,
+  CASE WHEN known THEN coalesce(nullif(regexp_extract(u, '{_PARTS}', 3), ''), '/') END AS path FROM k""")
 def _(v):
-    return v.pages.select("page_id", "url", X.simplify_uri(F.col("url")).alias("simplified"))
+    return v.syn_remote.where("url IS NOT NULL").select("call_id", X.url_parts(F.col("url")).alias("p")).select("call_id", "p.host", "p.port", "p.path")
 
 
-@query("f02_url_parts", r"""
-SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host,
-  CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) END AS path,
-  contains(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.') AS external FROM pages""")
+@query("f08_external_hosts", """
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host FROM pages UNION ALL SELECT page_id + 1000000, concat('10.', page_id % 300, '.0.', page_id % 7) FROM pages)
+SELECT page_id, host, contains(host, '.') AS dotted, regexp_matches(host, '^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$') AS ip FROM h WHERE host <> ''""")
 def _(v):
-    host = X.url_host(F.col("url"))
-    return v.pages.select("page_id", host.alias("host"), X.url_path(F.col("url")).alias("path"), X.is_external(host).alias("external"))
+    p = v.pages
+    host = F.concat(F.lit("10."), (F.col("page_id") % 300).cast("string"), F.lit(".0."), (F.col("page_id") % 7).cast("string"))
+    h = p.select("page_id", X.url_host(F.col("url")).alias("host")).union(p.select(F.col("page_id") + 1000000, host)).where("host IS NOT NULL")
+    return h.select("page_id", "host", X.is_external(F.col("host")).alias("dotted"), X.is_ip(F.col("host")).alias("ip"))
 
 
 @query("f03_content_ids", """
@@ -84,57 +77,26 @@ def _(v):
     return v.events.select("event_id", F.unix_millis(F.date_trunc("millisecond", "ts").cast("timestamp")).alias("ms"))
 
 
-@query("f19_role_names", "SELECT endpoint_id, regexp_replace(role, '^ROLE_', '') AS role FROM syn_auth WHERE role IS NOT NULL")
+@query("f20_role_names", "SELECT endpoint_id, regexp_replace(role, '^ROLE_', '') AS role FROM syn_auth WHERE role IS NOT NULL")
 def _(v):
     return v.syn_auth.where("role IS NOT NULL").select("endpoint_id", X.role_name(F.col("role")).alias("role"))
 
 
-@query("f38_strip_markup", r"""
+@query("x_strip_markup", r"""
 SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<script[^>]*>.*?</script>', ' ', 'g'),
   '(?s)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS text_sha FROM pages""")
 def _(v):
     return v.pages.select("page_id", F.sha2(X.strip_markup(F.col("html")), 256).alias("text_sha"))
 
 
-@query("f39_line_scan", r"""
-SELECT doc_id, CAST(i AS INTEGER) AS line, sha256(t) AS line_sha FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT contains(text, chr(13)))""")
-def _(v):
-    docs = v.documents.where(~F.contains("text", F.lit("\r"))).select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    return tables.lines(docs).select(F.col("path").alias("doc_id"), "line", F.sha2("text", 256).alias("line_sha"))
-
-
 # ---- stitching
 
-_STITCH = r"""
-WITH own AS (
-  SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host,
-    CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) END AS path
-  FROM syn_call WHERE reachable AND NOT suspected),
-book AS (SELECT lower(trim(name)) AS host, service_id, 1 AS prio FROM syn_service UNION ALL SELECT lower(trim(app_name)), service_id, 2 FROM syn_service),
-best AS (SELECT host, min(prio) AS prio FROM book GROUP BY host),
-claims AS (SELECT book.host, book.service_id AS target_id, count(*) OVER (PARTITION BY book.host) AS n_claims FROM book JOIN best ON book.host = best.host AND book.prio = best.prio),
-placed AS (SELECT own.*, target_id, n_claims FROM own LEFT JOIN claims USING (host) WHERE url IS NOT NULL),
-c AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS cs FROM placed WHERE target_id IS NOT NULL),
-e AS (SELECT service_id AS target_id, endpoint_id, http_method, list_filter(string_split(uri, '/'), lambda s: s <> '') AS es FROM syn_endpoint),
-met AS (
-  SELECT call_id, service_id, target_id, endpoint_id, n_claims,
-    len(list_filter(list_zip(cs, es), lambda z: z[2] <> '{?}' AND z[1] = '{?}')) > 0 AS guess, count(*) OVER (PARTITION BY call_id) AS n_met
-  FROM c JOIN e USING (target_id)
-  WHERE len(cs) = len(es) AND (http_verb IS NULL OR http_verb = http_method) AND len(list_filter(list_zip(cs, es), lambda z: NOT (z[2] = '{?}' OR z[1] = '{?}' OR z[1] = z[2]))) = 0),
-edges AS (
-  SELECT call_id, service_id, 'endpoint' AS target_kind, target_id AS target_service_id, endpoint_id AS target_endpoint_id, NULL::VARCHAR AS external_host,
-    CASE WHEN n_claims > 1 OR n_met > 1 OR guess THEN 'heuristic' ELSE 'exact' END AS confidence, NULL::VARCHAR AS reason FROM met
-  UNION ALL SELECT DISTINCT call_id, service_id, 'undetermined', NULL, NULL, NULL, 'none', 'no-endpoint-match' FROM c WHERE call_id NOT IN (SELECT call_id FROM met)
-  UNION ALL SELECT call_id, service_id, CASE WHEN contains(host, '.') THEN 'external' ELSE 'placeholder' END, NULL, NULL, host, CASE WHEN contains(host, '.') THEN 'exact' ELSE 'heuristic' END, NULL
-    FROM placed WHERE target_id IS NULL AND host <> ''
-  UNION ALL SELECT call_id, service_id, 'undetermined', NULL, NULL, NULL, 'none', 'url-undetermined' FROM own WHERE url IS NULL
-  UNION ALL SELECT call_id, service_id, 'undetermined', NULL, NULL, NULL, 'none', 'url-unparseable' FROM placed WHERE host = '')
-"""
+_STITCH = stitching.EDGES
 KINDS = ("endpoint", "external", "placeholder", "undetermined")
 
 
 def _edges(v: Views) -> DataFrame:
-    return stitch.stitch(v.syn_call, v.syn_service, v.syn_endpoint)
+    return stitching.stored(v.spark, v.sf_dir)
 
 
 @query("j05_phone_book", """
@@ -168,7 +130,7 @@ def _(v):
 
 @query("j13_stitch", _STITCH + "SELECT * FROM edges")
 def _(v):
-    return _edges(v)
+    return stitching.edges(v.spark, v.sf_dir)
 
 
 @query("a18_totals_by_kind", _STITCH + "SELECT k.target_kind, k.ord, count(e.call_id) AS n FROM (VALUES ('endpoint', 0), ('external', 1), ('placeholder', 2), ('undetermined', 3)) k(target_kind, ord) LEFT JOIN edges e USING (target_kind) GROUP BY ALL")
@@ -226,7 +188,7 @@ def _(v):
 SELECT (SELECT count(*) FROM own) AS n_calls, count(DISTINCT call_id) AS n_with_edge, count(*) AS n_edges, count(DISTINCT CASE WHEN target_kind = 'undetermined' THEN call_id END) AS n_undetermined FROM edges""")
 def _(v):
     e = _edges(v).agg(F.count_distinct("call_id").alias("n_with_edge"), F.count("*").alias("n_edges"), F.count_distinct(F.when(F.col("target_kind") == "undetermined", F.col("call_id"))).alias("n_undetermined"))
-    return stitch.stitchable(v.syn_call).agg(F.count("*").alias("n_calls")).join(F.broadcast(e), F.lit(True)).select("n_calls", "n_with_edge", "n_edges", "n_undetermined")
+    return stitch.stitchable(v.syn_remote).agg(F.count("*").alias("n_calls")).join(F.broadcast(e), F.lit(True)).select("n_calls", "n_with_edge", "n_edges", "n_undetermined")
 
 
 # ---- coverage
@@ -339,7 +301,7 @@ WITH m AS (
   WHERE pattern = '/**' OR (ends_with(pattern, '/**') AND (uri = replace(pattern, '/**', '') OR starts_with(uri, replace(pattern, '**', ''))))
     OR (NOT ends_with(pattern, '/**') AND starts_with(uri, replace(pattern, '*', '')) AND NOT contains(substr(uri, length(pattern)), '/'))),
 s AS (SELECT *, min(CASE WHEN is_read THEN ord END) OVER (PARTITION BY endpoint_id) AS stop FROM m),
-g AS (SELECT endpoint_id, rule_id, access, is_read FROM s WHERE stop IS NULL OR ord <= stop)
+g AS (SELECT endpoint_id, rule_id, access, is_read, 'exact' AS precision FROM s WHERE stop IS NULL OR ord <= stop)
 """
 
 
@@ -360,38 +322,37 @@ def _(v):
 
 _CLOSURE = """
 WITH RECURSIVE r(root, node, level) AS (
-  SELECT service_id, service_id, 0 FROM syn_service WHERE service_id % 10 = 0
-  UNION SELECT r.root, g.dst, r.level + 1 FROM r JOIN syn_call_graph g ON g.src = r.node WHERE r.level < 20),
+  SELECT root, root, 0 FROM syn_root UNION SELECT r.root, g.dst, r.level + 1 FROM r JOIN syn_call_graph g ON g.src = r.node WHERE r.level < 10),
 c AS (SELECT root, node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY ALL)
 """
 
 
-def _roots(v: Views) -> DataFrame:
-    return v.syn_service.where("service_id % 10 = 0").select(F.col("service_id").alias("root"))
-
-
 @query("g01_closure", _CLOSURE + "SELECT * FROM c")
 def _(v):
-    return graph.closure(v.syn_call_graph, _roots(v))
+    return graph.closure(v.syn_call_graph, v.syn_root)
 
 
-@query("g03_closure_leaves", _CLOSURE + "SELECT node, root, level FROM c WHERE node NOT IN (SELECT src FROM syn_call_graph)")
+@query("g03_closure_leaves", _CLOSURE + "SELECT node, root, level FROM c WHERE NOT EXISTS (SELECT 1 FROM syn_call_graph g WHERE g.src = c.node)")
 def _(v):
-    return graph.leaves(v.syn_call_graph, graph.closure(v.syn_call_graph, _roots(v)))
+    return graph.leaves(v.syn_call_graph, graph.closure(v.syn_call_graph, v.syn_root))
 
 
 @query("g08_call_tree", """
 WITH RECURSIVE t(root, path, trail, node, depth, cycle) AS (
-  SELECT service_id, CAST(service_id AS VARCHAR), [service_id], service_id, 0, FALSE FROM syn_service WHERE service_id % 10 = 0
-  UNION ALL SELECT t.root, t.path || '>' || g.dst, list_append(t.trail, g.dst), g.dst, t.depth + 1, list_contains(t.trail, g.dst) FROM t JOIN syn_call_graph g ON g.src = t.node WHERE NOT t.cycle AND t.depth < 3)
+  SELECT root, CAST(root AS VARCHAR), [root], root, 0, FALSE FROM syn_root
+  UNION ALL SELECT t.root, t.path || '>' || g.dst, list_append(t.trail, g.dst), g.dst, t.depth + 1, list_contains(t.trail, g.dst) FROM t JOIN syn_call_graph g ON g.src = t.node WHERE NOT t.cycle)
 SELECT root, path, node, depth, cycle FROM t""")
 def _(v):
-    return graph.call_tree(v.syn_call_graph, _roots(v), max_depth=3)
+    return graph.call_tree(v.syn_call_graph, v.syn_root)
 
 
-@query("g12_witness_levels", _CLOSURE + "SELECT root, node, level FROM c")
+@query("g12_witness_paths", _CLOSURE + """,
+p AS (SELECT c.root, c.node, c.level, min(g.src) AS src FROM c JOIN syn_call_graph g ON g.dst = c.node JOIN c x ON x.root = c.root AND x.node = g.src AND x.level = c.level - 1 GROUP BY ALL),
+w AS (SELECT root, root AS node, 0 AS level, CAST(root AS VARCHAR) AS path FROM syn_root
+  UNION ALL SELECT p.root, p.node, p.level, w.path || '>' || p.node FROM w JOIN p ON p.root = w.root AND p.src = w.node AND p.level = w.level + 1)
+SELECT root, node, level, path FROM w""")
 def _(v):
-    return graph.witness_paths(v.syn_call_graph, _roots(v)).select("root", "node", "level")
+    return graph.witness_paths(v.syn_call_graph, v.syn_root)
 
 
 @query("g06_flow_invariants", """
@@ -414,7 +375,7 @@ def _(v):
     return graph.entry_nodes(v.syn_node, v.syn_edge)
 
 
-_SPANS = "SELECT DISTINCT conv_id, turn AS lo, turn + length(text) % 3 AS hi FROM conversations WHERE length(text) % 4 <> 0"
+_SPANS = "SELECT DISTINCT conv_id, 2 * turn AS lo, 2 * turn + length(text) % 3 AS hi FROM conversations"
 
 
 @query("w05_merged_intervals", f"""
@@ -424,7 +385,7 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY lo, hi ROWS UNBOUND
 SELECT conv_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY conv_id, island""")
 def _(v):
     n = F.length("text")
-    spans = v.conversations.where(n % 4 != 0).select("conv_id", F.col("turn").alias("lo"), (F.col("turn") + n % 3).alias("hi")).distinct()
+    spans = v.conversations.select("conv_id", (2 * F.col("turn")).alias("lo"), (2 * F.col("turn") + n % 3).alias("hi")).distinct()
     return graph.merged_intervals(spans, ["conv_id"])
 
 
@@ -530,10 +491,16 @@ def _(v):
     return measure.worst_verdict(v.labels.select(F.expr("doc_id div 10").alias("pair"), F.expr(_VERDICT).alias("verdict")), ["pair"], "verdict")
 
 
-@query("f16_error_bounds")
+@query("f16_error_bounds", """
+WITH RECURSIVE n AS (SELECT quality, count(*) AS n, count(*) FILTER (doc_id % 50 = 0) AS errors FROM labels GROUP BY quality),
+b AS (
+  SELECT quality, n, errors, errors / n::DOUBLE AS lo, 1::DOUBLE AS hi, 0 AS k FROM n
+  UNION ALL SELECT quality, n, errors, CASE WHEN tail > 0.05 THEN p ELSE lo END, CASE WHEN tail > 0.05 THEN hi ELSE p END, k + 1
+  FROM (SELECT *, (lo + hi) / 2 AS p, list_sum(list_transform(range(0, errors + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) AS tail FROM b WHERE k < 45))
+SELECT quality, n, errors, round(hi, 6) AS bound FROM b WHERE k = 45""")
 def _(v):
     n = v.labels.groupBy("quality").agg(F.count("*").alias("n"), F.count_if((F.col("doc_id") % 50) == 0).alias("errors"))
-    return measure.with_bounds(n, "errors", "n")
+    return measure.with_bounds(n, "errors", "n").withColumn("bound", F.round("bound", 6))
 
 
 # ---- jobs and exports
@@ -544,9 +511,9 @@ def _(v):
 
 
 @query("t06_snapshot_states", """
-SELECT snapshot_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'succeeded') THEN 'done' ELSE 'running' END AS state, count(*) AS n_jobs FROM syn_job WHERE event_id % 35 > 1 GROUP BY snapshot_id""")
+SELECT snapshot AS snapshot_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'succeeded') THEN 'done' ELSE 'running' END AS state, count(*) AS n_jobs FROM (SELECT *, job_id * 1000 + event_id % 3 AS snapshot FROM syn_job) GROUP BY snapshot""")
 def _(v):
-    return queue.snapshot_states(v.syn_job.where("event_id % 35 > 1"))
+    return queue.snapshot_states(v.syn_job.withColumn("snapshot_id", F.col("job_id") * 1000 + F.col("event_id") % 3))
 
 
 @query("t01_claimable", """
@@ -558,15 +525,34 @@ def _(v):
     return queue.claimable(jobs, 1710000000).select("snapshot_id", "job_id")
 
 
-@query("t02_queue_replay")
+@query("t02_queue_replay", """
+WITH RECURSIVE e AS (
+  SELECT user_id AS job_id, epoch(ts)::BIGINT AS tm, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' END AS action,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS rn FROM events),
+s AS (
+  SELECT job_id, 0::BIGINT AS rn, 'none' AS status, 0 AS attempts, 0::BIGINT AS until FROM (SELECT DISTINCT job_id FROM e)
+  UNION ALL
+  SELECT job_id, rn, CASE WHEN action = 'enqueue' AND st IN ('none', 'succeeded', 'failed') THEN 'pending' WHEN action = 'claim' AND st = 'pending' THEN 'running' WHEN action = 'complete' AND st = 'running' THEN 'succeeded'
+      WHEN action = 'fail' AND st = 'running' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE st END,
+    CASE WHEN action = 'enqueue' AND st IN ('none', 'succeeded', 'failed') THEN 0 WHEN action = 'claim' AND st = 'pending' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN action = 'enqueue' AND st IN ('none', 'succeeded', 'failed') THEN 0 WHEN action = 'claim' AND st = 'pending' OR action = 'heartbeat' AND st = 'running' THEN tm + 600
+      WHEN action IN ('complete', 'fail') AND st = 'running' THEN 0 ELSE until END
+  FROM (SELECT s.job_id, e.rn, e.tm, e.action, s.attempts, s.until, CASE WHEN s.status = 'running' AND e.tm > s.until THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE s.status END AS st
+    FROM s JOIN e ON e.job_id = s.job_id AND e.rn = s.rn + 1))
+SELECT s.job_id, s.status, s.attempts FROM s JOIN (SELECT job_id, max(rn) AS rn FROM e GROUP BY job_id) m ON m.job_id = s.job_id AND m.rn = s.rn""")
 def _(v):
     action = F.element_at(F.create_map(*[F.lit(x) for kv in queue.ACTIONS.items() for x in kv]), F.col("event_type"))
     return queue.replay(v.events.select(F.col("user_id").alias("job_id"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), action.alias("action")))
 
 
-@query("k12_manifest_check", "SELECT NULL::VARCHAR AS kind, NULL::BIGINT AS declared, NULL::BIGINT AS received WHERE FALSE")
+@query("k12_manifest_check", """
+WITH d AS (SELECT 'endpoint' AS kind, (SELECT count(*) FROM syn_endpoint) AS declared, (SELECT count(*) FROM syn_endpoint WHERE endpoint_id % 3 <> 0) AS received
+  UNION ALL SELECT 'service', (SELECT count(*) FROM syn_service), (SELECT count(*) FROM syn_service))
+SELECT kind, declared, received FROM d WHERE declared IS DISTINCT FROM received""")
 def _(v):
-    return tables.manifest_errors(tables.bundle({"service": v.syn_service, "endpoint": v.syn_endpoint}))
+    rows = tables.bundle({"service": v.syn_service, "endpoint": v.syn_endpoint})
+    lost = (F.col("kind") == "endpoint") & (F.get_json_object("artifact", "$.endpoint_id").cast("long") % 3 == 0)
+    return tables.manifest_errors(rows.where(~lost))
 
 
 @query("k11_export_counts", "SELECT 'endpoint' AS kind, count(*) AS n FROM syn_endpoint UNION ALL SELECT 'service', count(*) FROM syn_service UNION ALL SELECT 'manifest', 2")

@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skylark.sources.shared import written
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 VIEWS = {
     "syn_service": """
         SELECT s_suppkey AS service_id, n_regionkey AS snapshot_id, lower(replace(s_name, '#', '-')) AS name,
@@ -31,10 +34,45 @@ VIEWS = {
             ELSE concat('http://', s.name, replace(e.uri, '{{?}}', CAST(l_linenumber AS STRING))) END AS url,
           l_quantity > 5 AS reachable, l_linenumber = 7 AS suspected
         FROM {lineitem} JOIN {syn_endpoint} e ON e.endpoint_id = l_partkey JOIN {syn_service} s ON s.service_id = e.service_id""",
+    "syn_env": """
+        SELECT s.service_id, 'svc.target' AS key, concat('http://', t.name) AS value
+        FROM (SELECT service_id, (service_id + 1) % n AS next FROM {syn_service} JOIN (SELECT count(*) AS n FROM {supplier}) c ON n > 0) s JOIN {syn_service} t ON t.service_id = s.next
+        UNION ALL SELECT service_id, 'SVC_BACKUP', concat('$', '{{svc.target}}') FROM {syn_service}
+        UNION ALL SELECT service_id, 'server.servlet.context-path', '/ctx/' FROM {syn_service} WHERE service_id % 7 = 3""",
+    "syn_route": """
+        SELECT s.service_id, 0 AS ord, '/small/**' AS prefix, concat('lb://', t.name) AS target_uri, 0 AS strip
+        FROM {syn_service} s JOIN {syn_service} t ON t.service_id = s.service_id + 1 WHERE s.is_gateway
+        UNION ALL SELECT s.service_id, 1, '/large', concat('lb://', t.app_name), 0 FROM {syn_service} s JOIN {syn_service} t ON t.service_id = s.service_id + 2 WHERE s.is_gateway
+        UNION ALL SELECT s.service_id, 2, '/medium/*', concat('http://', t.name, ':8080'), 0
+        FROM (SELECT service_id, (service_id + 25) % n AS next FROM {syn_service} JOIN (SELECT count(*) AS n FROM {supplier}) c ON n > 0 WHERE is_gateway) s JOIN {syn_service} t ON t.service_id = s.next
+        UNION ALL SELECT service_id, 3, '/medium/brand-1', 'http://nowhere-svc/x', 1 FROM {syn_service} WHERE is_gateway
+        UNION ALL SELECT service_id, 4, '/promo', '??bad', 1 FROM {syn_service} WHERE is_gateway""",
+    "syn_locator": "SELECT service_id FROM {syn_service} WHERE service_id % 50 = 0",
+    "syn_remote": """
+        SELECT DISTINCT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_partkey AS STRING)) AS call_id,
+          l_suppkey AS service_id, CASE WHEN l_linestatus = 'O' THEN NULL ELSE e.http_method END AS http_verb,
+          CASE WHEN l_partkey % 16 IN (6, 7) THEN 'high' WHEN l_partkey % 16 = 9 THEN 'heuristic' ELSE 'exact' END AS url_confidence,
+          CASE WHEN l_quantity < 2 THEN 'slice [unsupported-idiom:reflection] here' WHEN l_quantity < 3 THEN 'lombok-generated interior of a getter'
+            WHEN l_partkey % 16 = 10 AND l_linenumber = 1 THEN 'base-undetermined' END AS evidence,
+          CASE WHEN l_quantity < 4 THEN NULL ELSE CASE l_partkey % 16
+            WHEN 0 THEN concat('$', '{{svc.target}}', u.path) WHEN 1 THEN concat('$', '{{no.such:http://legacy-1}}', '/y') WHEN 2 THEN concat('$', '{{no.such}}', '/y')
+            WHEN 3 THEN concat('http://', '{{svc}}', '/x') WHEN 4 THEN concat('HTTPS://API-', CAST(l_partkey % 7 AS STRING), '.Example.com:8443/x')
+            WHEN 5 THEN concat('http://', s.name, '.default.svc.cluster.local', u.path) WHEN 6 THEN concat('http://', s.name, '.prod', u.path)
+            WHEN 7 THEN concat('http://localhost:', CAST(8000 + l_partkey % 70 AS STRING), u.path) WHEN 8 THEN concat('http://10.0.0.', CAST(l_linenumber AS STRING), '/x')
+            WHEN 9 THEN concat('http://', s.app_name, u.path) WHEN 10 THEN u.path WHEN 11 THEN concat('$', '{{svc.backup}}', u.path)
+            WHEN 12 THEN concat('http://', g.name, u.path) WHEN 13 THEN concat('http://', g.name, '/', s.app_name, u.path)
+            WHEN 14 THEN concat('http://', s.name, ':', CAST(s.port + l_linenumber % 2 AS STRING), '/ctx', u.path) ELSE concat(s.name, u.path) END END AS url,
+          l_quantity > 2 OR l_linenumber < 3 AS reachable, l_linenumber = 7 AS suspected
+        FROM {lineitem} JOIN {syn_endpoint} e ON e.endpoint_id = l_partkey JOIN {syn_service} s ON s.service_id = e.service_id
+        JOIN {syn_service} g ON g.service_id = s.service_id - s.service_id % 25
+        JOIN (SELECT x.endpoint_id, n.line, CASE WHEN n.line = 5 THEN concat('/', lower(x.entity), '/{{x}}') WHEN n.line = 6 THEN concat(replace(x.uri, '{{?}}', ':id'), '?a=/b')
+            ELSE replace(x.uri, '{{?}}', CAST(n.line AS STRING)) END AS path
+          FROM {syn_endpoint} x JOIN (SELECT DISTINCT l_linenumber AS line FROM {lineitem}) n ON n.line > 0) u ON u.endpoint_id = l_partkey AND u.line = l_linenumber""",
     "syn_call_graph": """
-        SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst
-        FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-        WHERE a.l_orderkey % 61 = 0""",
+        SELECT DISTINCT a.endpoint_id * 10 + a.node_id AS src, b.endpoint_id * 10 + b.node_id AS dst
+        FROM {syn_node} a JOIN {syn_node} b ON a.endpoint_id = b.endpoint_id
+          AND (b.node_id = a.node_id + 1 OR (a.kind = 'branch' AND b.node_id = a.node_id + 2) OR (a.kind = 'call' AND b.node_id = a.node_id - 3))""",
+    "syn_root": "SELECT endpoint_id * 10 + min(node_id) AS root FROM {syn_node} GROUP BY endpoint_id",
     "syn_access": """
         SELECT DISTINCT o_custkey AS endpoint_id, o_custkey % (SELECT count(*) FROM {supplier}) AS service_id,
           CASE WHEN p_type = 'SMALL' THEN NULL ELSE p_type END AS entity,
@@ -77,11 +115,14 @@ def _names(text: str) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A plain table or a synthetic view as a DataFrame."""
+    """A plain table, or a synthetic one, which is written once for each folder and session as a snapshot's tables are."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name]
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _names(text)})
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        text = VIEWS[name]
+        _STORED[key] = written(spark.sql(text, **{n: view(spark, sf_dir, n) for n in _names(text)}), name)
+    return _STORED[key]
 
 
 def with_views(sql: str) -> str:

@@ -26,9 +26,29 @@ def test_stitch_keeps_every_call(spark):
     assert _stitched(spark, calls) == [
         ("1", "endpoint", 10, "exact", None), ("2", "undetermined", None, "none", "url-undetermined"), ("3", "undetermined", None, "none", "url-unparseable"),
         ("4", "undetermined", None, "none", "no-endpoint-match"), ("5", "external", None, "exact", None), ("6", "placeholder", None, "heuristic", None), ("7", "endpoint", 12, "heuristic", None),
+        ("7", "undetermined", None, "none", "no-endpoint-match"),
     ]
 
 
+def test_stitch_by_the_rules_of_resolution(spark):
+    services = spark.createDataFrame([(1, "gate", "g", 80, "service", 5, 3), (2, "shop", "shop-app", 81, "service", None, None), (3, "cart", "cart-app", 82, "service", None, None)], SERVICES)
+    endpoints = spark.createDataFrame([(20, 2, "GET", "/items/{?}"), (21, 2, "POST", "/items"), (30, 3, "GET", "/carts/{?}")], ENDPOINTS)
+    env = spark.createDataFrame([(1, "shop.url", "http://${shop.host}"), (1, "SHOP_HOST", "shop:81"), (3, "server.servlet.context-path", "/api/")], "service_id long, key string, value string")
+    routes = spark.createDataFrame([(1, 0, "/s/**", "lb://shop-app", 1), (1, 1, "/s/x/**", "http://gone:9", 0), (1, 2, "/bad", "??", 0)], "service_id long, ord int, prefix string, target_uri string, strip int")
+    locators = spark.createDataFrame([(1,)], "service_id long")
+    want = {
+        "${shop.url}/items/7": ("endpoint", 20, "exact", "config-resolved"), "http://{svc}/x": ("undetermined", None, "none", "machine-proven"), "HTTPS://API.x.com:8443/y": ("external", "api.x.com:8443", "exact", "machine-proven"),
+        "http://shop.ns.svc.cluster.local/items/{id}": ("endpoint", 20, "exact", "config-resolved"), "http://shop.prod/items/1": ("endpoint", 20, "high", "config-resolved"), "http://localhost:82/api/carts/1": ("endpoint", 30, "heuristic", "heuristic"),
+        "http://cart/api/carts/{x}?q=/z": ("endpoint", 30, "exact", "config-resolved"), "http://shop:99/items/1": ("endpoint", 20, "high", "config-resolved"), "http://gate/s/items/1": ("endpoint", 20, "high", "config-resolved"),
+        "http://gate/s/x/1": ("placeholder", "gone", "high", "config-resolved"), "http://gate/bad": ("placeholder", "??", "high", "config-resolved"), "http://gate/cart-app/api/carts/1": ("endpoint", 30, "high", "config-resolved"),
+        "http://gate/nobody/a": ("placeholder", "nobody", "high", "config-resolved"), "http://10.0.0.1/x": ("external", "10.0.0.1", "exact", "machine-proven"), "http://localhost/x": ("placeholder", "localhost", "heuristic", "heuristic"),
+        "http://shop/items/:id/more": ("undetermined", None, "none", "machine-proven"),
+    }
+    calls = spark.createDataFrame([(u, 1, u, "GET", True, False) for u in want], CALLS)
+    got = {r.call_id: (r.target_kind, r.target_endpoint_id or r.external_host, r.confidence, r.provenance) for r in stitch.stitch(calls, services, endpoints, env, routes, locators).collect()}
+    assert got == want
+
+
 def test_unknown_is_not_zero(spark):
     services = spark.createDataFrame([(1, "a", "x", 1, "service", 0, 0), (2, "b", "x", 1, "service", None, None), (3, "c", "x", 1, "service", 4, 1)], SERVICES)
     got = {r.service_id: (r.methods, r.percent) for r in coverage.method_coverage(services).collect()}
@@ -38,8 +58,12 @@ def test_unknown_is_not_zero(spark):
 def test_uri_and_ant(spark):
     df = spark.createDataFrame([("/a/{id:[0-9]+}//:x/b/?q=1",)], "u string").select(X.simplify_uri(F.col("u")).alias("s"))
     assert df.first().s == "/a/{?}/{?}/b"
-    pats = spark.createDataFrame([("/a/**", "/a"), ("/a/**", "/a/b/c"), ("/a/*", "/a/b"), ("/a/*", "/a/b/c"), ("/**", "/z")], "p string, u string")
-    assert [r.m for r in pats.select(F.rlike("u", X.ant_regex(F.col("p"))).alias("m")).collect()] == [True, True, True, False, True]
+    pats = {
+        ("/a/**", "/a"): "exact", ("/a/**", "/a/b/c"): "exact", ("/a/*", "/a/b"): "exact", ("/a/*", "/a/b/c"): None, ("/**", "/z"): "exact", ("/a/**/b", "/a/b"): "exact", ("/a?c", "/abc"): "exact",
+        ("/a?c", "/ac"): None, ("/contest/public/**", "/contest/{id}/camp"): "speculative", ("/orders/*", "/orders/{id}"): "exact", ("/**/x/**", "/a/x/b"): "exact", ("/a.b", "/axb"): None,
+    }
+    df = spark.createDataFrame(list(pats), "p string, u string")
+    assert {(r.p, r.u): r.m for r in df.select("p", "u", X.ant_match(F.col("p"), F.col("u")).alias("m")).collect()} == pats
 
 
 def test_closure_ends_on_cycles(spark):
