@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,7 +189,15 @@ def ant_match(pattern: Column, path: Column) -> Column:
     The states are the numbers of pattern segments passed, each with its best precision (2 exact, 1
     speculative, 0 not reached); each path segment moves them all on at once.
     """
-    p, s = segments(pattern), segments(path)
+    return _once(F.struct(segments(pattern).alias("p"), segments(path).alias("s")), lambda both: _ant_states(both["p"], both["s"]))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _ant_states(p: Column, s: Column) -> Column:
     n = F.size(p)
     deep = lambda i: F.get(p, i) == "**"
 
@@ -210,7 +220,7 @@ def ant_match(pattern: Column, path: Column) -> Column:
             step = F.when((i > 0) & ~F.coalesce(deep(i - 1), F.lit(False)), F.least(F.get(states, i - 1), rank)).otherwise(0)
             return F.greatest(stay, F.coalesce(step, F.lit(0)))
 
-        return closed(F.transform(F.sequence(F.lit(0), n), reach))
+        return _once(F.transform(F.sequence(F.lit(0), n), reach), closed)
 
     first = closed(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == 0, 2).otherwise(0)))
     end = F.element_at(F.aggregate(s, first, move), n + 1)

@@ -110,3 +110,46 @@ def rollup_by_method(nodes: DataFrame) -> DataFrame:
     """Node counts per method and kind, and the first node."""
     kind = lambda k: F.count_if(F.col("kind") == k)
     return nodes.groupBy("endpoint_id", "method_id").agg(F.count("*").alias("n_nodes"), kind("branch").alias("n_branch"), kind("call").alias("n_call"), kind("statement").alias("n_statement"), F.min("node_id").alias("first_node"))
+
+
+def subtree_sizes(tree: DataFrame) -> DataFrame:
+    """(root, path, size): how many nodes of the tree lie at or below each path."""
+    parts = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ">"))
+    return tree.select("root", F.explode(above).alias("path")).groupBy("root", "path").agg(F.count("*").alias("size"))
+
+
+def first_paths(tree: DataFrame) -> DataFrame:
+    """(root, node, path): of all paths to a node the first in the tree's order: the shortest, then the smallest."""
+    trail = F.transform(F.split("path", ">"), lambda x: x.cast("long"))
+    return tree.groupBy("root", "node").agg(F.min_by("path", F.struct("depth", trail)).alias("path"))
+
+
+def leaving_arms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Decision edges whose target has no way out, which so leave the method."""
+    out = edges.select("endpoint_id", F.col("source").alias("target")).distinct().withColumn("goes_on", F.lit(True))
+    known = nodes.select("endpoint_id", F.col("node_id").alias("target"))
+    arms = edges.where("kind IN ('true', 'false')").join(known, ["endpoint_id", "target"])
+    return arms.join(out, ["endpoint_id", "target"], "left").where("goes_on IS NULL").select("endpoint_id", "source", "target", "kind")
+
+
+def governing_conditions(nodes: DataFrame, edges: DataFrame, most: int = 2) -> DataFrame:
+    """(endpoint_id, node_id, decision, kind, distance): the nearest decision edges backwards from every node, at most so many.
+
+    A round walks one edge back from all nodes at once; a walk ends at a decision edge, which it
+    reports, and where it has been before. Nearer decisions come first, of equal ones the smaller.
+    """
+    back = edges.select("endpoint_id", F.col("target").alias("at"), F.col("source").alias("up"), "kind")
+    front = written(nodes.select("endpoint_id", "node_id", F.col("node_id").alias("at")), "walks")
+    seen, found = front, None
+    for distance in count(1):
+        step = written(front.join(back, ["endpoint_id", "at"]), "walks")
+        hit = step.where("kind IN ('true', 'false')").select("endpoint_id", "node_id", F.col("up").alias("decision"), "kind", F.lit(distance).alias("distance")).distinct()
+        found = hit if found is None else found.unionByName(hit)
+        on = step.where("kind NOT IN ('true', 'false')").select("endpoint_id", "node_id", F.col("up").alias("at")).distinct()
+        front = written(on.join(seen, ["endpoint_id", "node_id", "at"], "left_anti"), "walks")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    w = Window.partitionBy("endpoint_id", "node_id").orderBy("distance", "decision", "kind")
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")

@@ -85,3 +85,137 @@ def search(df: DataFrame, columns: list[str], query: str, id_col: str) -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def listed(df: DataFrame, order: list, columns: list[str], **where) -> DataFrame:
+    """Rows with the given values, if any, of the given columns only, in order; filter and columns reach the scan."""
+    for column, value in where.items():
+        df = df if value is None else df.where(F.col(column) == value)
+    return df.select(*columns).orderBy(*order)
+
+
+def point(df: DataFrame, columns: list[str], **key) -> DataFrame:
+    """The one row of a key."""
+    return listed(df, columns[:1], columns, **key).limit(1)
+
+
+def exists(df: DataFrame) -> DataFrame:
+    """Whether there is any row."""
+    return df.limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def edges_of(edges: DataFrame, service_id: int, direction: str) -> DataFrame:
+    """The edges that leave a service or arrive at it."""
+    return edges.where(F.col("service_id" if direction == "outbound" else "target_service_id") == service_id)
+
+
+def edges_of_calls(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """The edges of some calls."""
+    return edges.join(calls.select("call_id").distinct(), "call_id", "left_semi")
+
+
+def outbound(flow_calls: DataFrame, edges: DataFrame, reports: DataFrame) -> DataFrame:
+    """(endpoint_id, n_edges, stitched): each flow's edges; without a report of its snapshot the number is NULL and not 0."""
+    n = flow_calls.join(edges.select("call_id", "target_kind"), "call_id", "left").groupBy("endpoint_id").agg(F.count("target_kind").alias("n"))
+    done = exists(reports).withColumnRenamed("found", "stitched")
+    return n.join(F.broadcast(done), F.lit(True)).select("endpoint_id", F.when(F.col("stitched"), F.col("n")).alias("n_edges"), "stitched")
+
+
+def system_graph(edges: DataFrame, services: DataFrame) -> DataFrame:
+    """(caller, target, kind, n): stitched edges between names, and undetermined ones to nothing."""
+    caller = services.select("service_id", F.col("name").alias("caller"))
+    target = services.select(F.col("service_id").alias("target_service_id"), F.col("name").alias("target_name"))
+    full = edges.join(caller, "service_id", "left").join(target, "target_service_id", "left")
+    return full.groupBy(F.coalesce("caller", F.col("service_id").cast("string")).alias("caller"), F.coalesce("target_name", "external_host").alias("target"), F.col("target_kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def selected_entity(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, entity, n_candidates): by qualified name, else by simple name where it is unambiguous.
+
+    rows: entity (qualified); wanted: wanted. An ambiguous simple name has no entity, its candidates are counted.
+    """
+    names = rows.select("entity").distinct().withColumn("simple", F.substring_index("entity", ".", -1))
+    exact = wanted.join(names.select(F.col("entity").alias("wanted"), F.col("entity").alias("full")), "wanted", "left")
+    short = names.groupBy(F.col("simple").alias("wanted")).agg(F.count("*").alias("n"), F.min("entity").alias("only"))
+    return exact.join(short, "wanted", "left").select(
+        "wanted", F.coalesce("full", F.when(F.col("n") == 1, F.col("only"))).alias("entity"), F.when(F.col("full").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_candidates"),
+    )
+
+
+def unique_names(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """A name catalogue: the value of each name, NULL where several claim it."""
+    return rows.groupBy(name).agg(F.when(F.count_distinct(value) == 1, F.min(value)).alias(value))
+
+
+def tables_to_entities(uses: DataFrame, entities: DataFrame) -> DataFrame:
+    """(use_id, entity): table names to entities, case aside unless quoted, by schema where both name one; ambiguous ones to none.
+
+    uses: use_id, name, quoted, schema; entities: entity, table, schema.
+    """
+    u = uses.withColumn("_key", F.lower("name"))
+    e = entities.select("entity", F.col("table").alias("_table"), F.col("schema").alias("_schema"), F.lower("table").alias("_key"))
+    met = u.join(e, "_key").where((~F.col("quoted") | (F.col("name") == F.col("_table"))) & (F.col("schema").isNull() | F.col("_schema").isNull() | (F.lower("schema") == F.lower("_schema"))))
+    one = unique_names(met, "use_id", "entity")
+    return uses.select("use_id").join(one, "use_id", "left")
+
+
+def inside_any(sites: DataFrame, spans: DataFrame) -> DataFrame:
+    """The sites (site_id, file, line) that lie in a span (file, lo, hi) of the same file, told by its path's end.
+
+    Files meet by their base name, so the join is an equi-join and the path's end a condition within it.
+    """
+    base = lambda c: F.substring_index(c, "/", -1)
+    s = spans.select(F.col("file").alias("_file"), "lo", "hi").withColumn("_base", base("_file"))
+    tail = F.endswith("file", F.concat(F.lit("/"), F.col("_file"))) | F.endswith("_file", F.concat(F.lit("/"), F.col("file"))) | (F.col("file") == F.col("_file"))
+    on = (base("file") == F.col("_base")) & F.col("line").between(F.col("lo"), F.col("hi")) & tail
+    return sites.join(s, on, "left_semi")
+
+
+def first_rule(rows: DataFrame, text: str, rules: list[tuple[str, str]], default: str):
+    """Rows with the value of the first rule (prefix, value) that fits the text; a prefix ends where a capital letter or the text does."""
+    value = F.lit(default)
+    for prefix, own in reversed(rules):
+        value = F.when(F.col(text).rlike(f"^{prefix}($|[A-Z])"), own).otherwise(value)
+    return rows.withColumn("rule", value)
+
+
+def superseding(jobs: DataFrame, by: list[str]) -> DataFrame:
+    """The latest job of each group: the newest, of equal times the largest id."""
+    return jobs.groupBy(*by).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n_jobs"))
+
+
+def folded_copies(sites: DataFrame) -> DataFrame:
+    """Copies of a library's sites (export, file, line, method, site_id) as one each: the nth of a place in each export is the same, the first export owns it."""
+    key = ["file", "line", "method"]
+    nth = F.row_number().over(Window.partitionBy("export", *key).orderBy("site_id"))
+    return sites.withColumn("nth", nth).groupBy(*key, "nth").agg(F.min_by("site_id", F.struct("export", "site_id")).alias("site_id"), F.min("export").alias("owner"), F.count("*").alias("n_copies"))
+
+
+def windowed_lines(lines: DataFrame, start: int, most: int) -> DataFrame:
+    """At most so many lines of each text from a line on, with whether it goes on."""
+    n = lines.groupBy("path").agg(F.max("line").alias("_n"))
+    shown = lines.where(F.col("line").between(start, start + most - 1))
+    return shown.join(n, "path").withColumn("truncated", F.col("_n") > start + most - 1).drop("_n")
+
+
+def identity_conflicts(book: DataFrame) -> DataFrame:
+    """Hosts that both namespaces know, for different services."""
+    own = book.groupBy("host").agg(*[F.array_sort(F.collect_set(F.when(F.col("prio") == p, F.col("service_id")))).alias(f"_{p}") for p in (1, 2)])
+    return own.where((F.size("_1") > 0) & (F.size("_2") > 0) & (F.col("_1") != F.col("_2"))).select("host", F.array_join("_1", ",").alias("by_host"), F.array_join("_2", ",").alias("by_name"))
+
+
+def first_owner(needs: DataFrame, owners: DataFrame) -> DataFrame:
+    """(module, artifact, owner): each needed artifact's owner, the first where several build it."""
+    one = owners.groupBy("artifact").agg(F.min("owner").alias("owner"))
+    return needs.join(one, "artifact").select("module", "artifact", "owner")
+
+
+def binding_entries(rules: DataFrame, config: DataFrame) -> DataFrame:
+    """(rule_id, key): a binding prefix's first entry in order, its own or one below it.
+
+    rules: rule_id, prefix; config: ord, key. Entries meet prefixes by equality with one of their own prefixes.
+    """
+    parts = F.split("key", r"\.")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    entries = config.select("ord", "key", F.explode(heads).alias("prefix"))
+    return rules.join(entries, "prefix").groupBy("rule_id").agg(F.min_by("key", "ord").alias("key"))
