@@ -104,8 +104,8 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_mod: int = 50, scale: floa
     """Each query's k largest integer inner products: query_id, rank, vec_id, score.
 
     Components become floor(scale * x). Queries: ids divisible by ``query_mod``; candidates: every
-    row but the query's own; ties go to the smaller id. One shard is searched first and its kth
-    scores bound the branches of all others.
+    row but the query's own; ties go to the smaller id. Shards are searched in waves that double,
+    and the kth scores so far bound the branches of the next wave.
 
     Null ids, null vectors and vectors with null or non-finite components take no part. Vectors
     meet only those of their own length. Of rows that share an id, the smallest vector counts. An
@@ -117,10 +117,14 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_mod: int = 50, scale: floa
     shards, n_shards = V.pack_shards(distinct, k, build, distinct.count())
     shards = materialise(shards, "ip-shards")
     queries = df.where(F.col("vec_id") % query_mod == 0)
-    blocks, n_blocks = V.pack_queries(queries)
-    found = materialise(V.search_blocks(shards.where("shard = 0"), 1, blocks, n_blocks, k, search(k)), "ip-first")
-    if n_shards > 1:
-        kth = V.best(found, k, smaller_is_better=False).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    found, kth, done = None, None, 0
+    while done < n_shards:
+        # each wave searches as many shards as all before it, bounded by the kth scores that they have found
+        wave = range(done, min(n_shards, max(1, 2 * done)))
         blocks, n_blocks = V.pack_queries(queries, kth)
-        found = found.unionByName(V.search_blocks(shards.where("shard > 0"), n_shards, blocks, n_blocks, k, search(k)))
+        part = V.search_blocks(shards, wave, blocks, n_blocks, k, search(k))
+        part = part if found is None else found.unionByName(part)
+        found = materialise(V.best(part, k, smaller_is_better=False), "ip-found")
+        kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        found, done = found.drop("rank"), wave.stop
     return V.best(found, k, smaller_is_better=False).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -129,5 +129,5 @@ def neighbours(embeddings: DataFrame, *, k: int = 10, query_mod: int = 100, tabl
     distinct = materialise(V.distinct_vectors(df, k, df.count()), "nn-distinct")
     shards, n_shards = V.pack_shards(distinct, k, lambda x: codes(x, tables, seed).tobytes(), distinct.count())
     blocks, n_blocks = V.pack_queries(df.where(F.col("vec_id") % query_mod == 0))
-    found = V.search_blocks(shards, n_shards, blocks, n_blocks, k, search(k, tables, least, seed))
+    found = V.search_blocks(shards, range(n_shards), blocks, n_blocks, k, search(k, tables, least, seed))
     return V.best(found, k, smaller_is_better=True).select("query_id", "rank", "vec_id", "score")

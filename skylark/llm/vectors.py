@@ -98,13 +98,13 @@ def expand(query_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, *
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def search_blocks(shards: DataFrame, n_shards: int, blocks: DataFrame, n_blocks: int, k: int, search: Callable) -> DataFrame:
-    """Run ``search(vecs, ids, extra, query_vecs, query_ids, floor) -> DataFrame`` on every pair of shard and block.
+def search_blocks(shards: DataFrame, numbers: range, blocks: DataFrame, n_blocks: int, k: int, search: Callable) -> DataFrame:
+    """Run ``search(vecs, ids, extra, query_vecs, query_ids, floor) -> DataFrame`` on every pair of a shard of the given numbers and a block.
 
     The query set is stated, so each block meets each shard once; a task holds one of each.
     """
-    left = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    left = shards.where(F.col("shard").between(numbers[0], numbers[-1])).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    right = blocks.withColumn("shard", F.explode(F.sequence(F.lit(numbers[0]), F.lit(numbers[-1]))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -27,6 +27,20 @@ def _vectors(spark, n=300, seed=1):
     return x.astype(float), spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
 
 
+def test_top_k_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(balltree.V, "SHARD_ROWS", 40)
+    test_top_k_is_exact(spark)
+
+
+def test_neighbours_of_many_shards_are_never_short(spark, monkeypatch):
+    monkeypatch.setattr(crosspolytope.V, "SHARD_ROWS", 100)
+    x, df = _vectors(spark, n=301)
+    got = crosspolytope.neighbours(df, least=40).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in got) == [(i, 10) for i in (0, 100, 200, 300)]
+    few = spark.createDataFrame([(i, [1.0, float(i)], "c") for i in (0, 1, 2)], "vec_id long, embedding array<double>, score string")
+    assert sorted((r.vec_id, r["rank"]) for r in crosspolytope.neighbours(few).collect()) == [(1, 1), (2, 2)]
+
+
 def test_top_k_is_exact(spark):
     x, df = _vectors(spark)
     q, ids = np.floor(256 * x), np.arange(len(x))
