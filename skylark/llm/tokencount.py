@@ -20,6 +20,8 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Distinct pre-tokens that each task gets with it; the rest are joined.
 COMMON = 300_000
+#: Distinct chunks that a task gathers before it cuts them into pre-tokens, each once.
+OPEN_CHUNKS = 100_000
 _FINE: dict[str, Words] = {}
 
 
@@ -67,18 +69,23 @@ def vocabulary(docs: DataFrame, path: str, text_col: str) -> DataFrame:
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        own: Counter = Counter()  # chunks that are not cut yet
+
+        def cut() -> None:
+            for pretokens, n in zip(pretokens_of(own, path), own.values(), strict=True):
+                for p in pretokens:
+                    seen[p] += n
+            own.clear()
+
         for pdf in batches:
-            texts = [t for t in pdf["text"] if t]
-            for at in range(0, len(texts), 256):
-                own: Counter = Counter()
-                for chunks in chunked(texts[at : at + 256], path):
-                    own.update(chunks)
-                for pretokens, n in zip(pretokens_of(own, path), own.values(), strict=True):
-                    for p in pretokens:
-                        seen[p] += n
-                if len(seen) > 400_000:
-                    yield pd.DataFrame({"pretoken": list(seen), "freq": list(seen.values())})
-                    seen = Counter()
+            for chunks in chunked([t for t in pdf["text"] if t], path):
+                own.update(chunks)
+                if len(own) > OPEN_CHUNKS:
+                    cut()
+            if len(seen) > 400_000:
+                yield pd.DataFrame({"pretoken": list(seen), "freq": list(seen.values())})
+                seen.clear()
+        cut()
         if seen:
             yield pd.DataFrame({"pretoken": list(seen), "freq": list(seen.values())})
 

@@ -96,6 +96,17 @@ def test_packing_comes_from_the_program():
     assert solved >= 0.8 * chosen.total() and chosen.total() <= packing._best_fit(packing.Counter(histogram), 2048).total()
 
 
+def test_token_counts_of_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "COMMON", 3)  # so that most pre-tokens are joined
+    t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    rows = [*ODD, *ODD, "x" * 3000 + " don't" * 2000]
+    docs = _docs(spark, rows).withColumn("n_tokens", F.lit("clash")).withColumn("pretoken", F.lit(1))
+    got = tokencount.token_counts(docs.union(docs.where("doc_id = 4")), tokenizer=public_path("byte_bpe_50k.json")).collect()
+    want = [(i, len(t.encode(x or "").ids)) for i, x in enumerate(rows)]
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted([*want, want[4]])
+    assert tokencount.token_counts(docs.limit(0), tokenizer=public_path("byte_bpe_50k.json")).count() == 0
+
+
 def test_token_counts(spark):
     t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     rows = tokencount.token_counts(_docs(spark, ODD), tokenizer=public_path("byte_bpe_50k.json")).collect()
