@@ -88,10 +88,10 @@ def _(v):
 
 
 @query("p25_edges_of_a_method", """
-WITH m AS (SELECT endpoint_id, node_id FROM syn_node WHERE method_id % 10 = 3)
+WITH m AS (SELECT endpoint_id, node_id FROM syn_node WHERE method_id = 3)
 SELECT e.endpoint_id, e.source, e.target, e.kind FROM syn_edge e WHERE EXISTS (SELECT 1 FROM m WHERE m.endpoint_id = e.endpoint_id AND m.node_id IN (e.source, e.target))""")
 def _(v):
-    m = v.syn_node.where("method_id % 10 = 3").select("endpoint_id", "node_id")
+    m = v.syn_node.where("method_id = 3").select("endpoint_id", "node_id")
     ends = [v.syn_edge.join(m.withColumnRenamed("node_id", c), ["endpoint_id", c], "left_semi") for c in ("source", "target")]
     return ends[0].unionByName(ends[1]).distinct().select("endpoint_id", "source", "target", "kind")
 
@@ -141,10 +141,10 @@ def _(v):
     return reads.binding_entries(rules, config)
 
 
-@query("j32_module_owners", "SELECT service_id AS module, app_name AS artifact, owner FROM syn_service JOIN (SELECT app_name, min(service_id) AS owner FROM syn_service WHERE service_id % 2 = 1 GROUP BY app_name) USING (app_name)")
+@query("j32_module_owners", "SELECT service_id AS module, app_name AS artifact, owner FROM syn_service JOIN (SELECT app_name, min(service_id) AS owner FROM syn_service GROUP BY app_name) USING (app_name)")
 def _(v):
     s = v.syn_service
-    return reads.first_owner(s.select(F.col("service_id").alias("module"), F.col("app_name").alias("artifact")), s.where("service_id % 2 = 1").select(F.col("app_name").alias("artifact"), F.col("service_id").alias("owner")))
+    return reads.first_owner(s.select(F.col("service_id").alias("module"), F.col("app_name").alias("artifact")), s.select(F.col("app_name").alias("artifact"), F.col("service_id").alias("owner")))
 
 
 @query("j33_unique_names", "SELECT app_name, CASE WHEN count(DISTINCT service_id) = 1 THEN min(service_id) END AS service_id FROM syn_service GROUP BY app_name")

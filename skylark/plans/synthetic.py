@@ -49,7 +49,7 @@ VIEWS = {
         UNION ALL SELECT service_id, 4, '/promo', '??bad', 1 FROM {syn_service} WHERE is_gateway""",
     "syn_locator": "SELECT service_id FROM {syn_service} WHERE service_id % 50 = 0",
     "syn_remote": """
-        SELECT DISTINCT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_partkey AS STRING)) AS call_id,
+        SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_partkey AS STRING)) AS call_id,
           l_suppkey AS service_id, CASE WHEN l_linestatus = 'O' THEN NULL ELSE e.http_method END AS http_verb,
           CASE WHEN l_partkey % 16 IN (6, 7) THEN 'high' WHEN l_partkey % 16 = 9 THEN 'heuristic' ELSE 'exact' END AS url_confidence,
           CASE WHEN l_quantity < 2 THEN 'slice [unsupported-idiom:reflection] here' WHEN l_quantity < 3 THEN 'lombok-generated interior of a getter'
@@ -63,7 +63,8 @@ VIEWS = {
             WHEN 12 THEN concat('http://', g.name, u.path) WHEN 13 THEN concat('http://', g.name, '/', s.app_name, u.path)
             WHEN 14 THEN concat('http://', s.name, ':', CAST(s.port + l_linenumber % 2 AS STRING), '/ctx', u.path) ELSE concat(s.name, u.path) END END AS url,
           l_quantity > 2 OR l_linenumber < 3 AS reachable, l_linenumber = 7 AS suspected
-        FROM {lineitem} JOIN {syn_endpoint} e ON e.endpoint_id = l_partkey JOIN {syn_service} s ON s.service_id = e.service_id
+        FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_suppkey, l_partkey) i
+        JOIN {syn_endpoint} e ON e.endpoint_id = l_partkey JOIN {syn_service} s ON s.service_id = e.service_id
         JOIN {syn_service} g ON g.service_id = s.service_id - s.service_id % 25
         JOIN (SELECT x.endpoint_id, n.line, CASE WHEN n.line = 5 THEN concat('/', lower(x.entity), '/{{x}}') WHEN n.line = 6 THEN concat(replace(x.uri, '{{?}}', ':id'), '?a=/b')
             ELSE replace(x.uri, '{{?}}', CAST(n.line AS STRING)) END AS path
