@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on at most, and the pairs drawn from them.
 FIT_ROWS = 20_000
-FIT_PAIRS = 50_000
+FIT_PAIRS = 20_000
 #: Buckets of hashed letter trigrams beside the general features, and how much more their weights are held back.
 BUCKETS = 256
 LEXICAL_RIDGE = 0.3
@@ -106,11 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, *, cut: float, id_col: str = "doc_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [features(t).astype(np.float32) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [features(t).astype("<f4").tobytes() for t in pdf["text"]]})
 
-    rows = picked.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, x array<float>").toPandas()
+    rows = picked.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, x binary").toPandas()
     rows = rows.sort_values("doc_id").drop_duplicates("doc_id")
-    return fit(np.array(rows["x"].tolist(), float).reshape(-1, FEATURES), rows["quality"].to_numpy(int), cut=cut)
+    return fit(np.frombuffer(b"".join(rows["x"]), "<f4").astype(float).reshape(-1, FEATURES), rows["quality"].to_numpy(int), cut=cut)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
