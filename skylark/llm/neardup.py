@@ -29,7 +29,7 @@ _SEED = np.random.default_rng(20240607)
 _MUL = _SEED.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _SEED.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 _PLACES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-_HASHED = Words(lambda part: [xxhash.xxh3_64_intdigest(w) for w in part])
+_HASHED = Words(lambda part: [xxhash.xxh3_64_intdigest(w) for w in part], limit=60_000)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -229,17 +229,17 @@ def _all_pairs(starts: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> Ite
     for m in np.unique(sizes[(sizes > 1) & (firsts == 0)]):
         i, j = np.triu_indices(int(m), 1)
         at = starts[(sizes == m) & (firsts == 0)]
-        step = max(1, 200_000 // len(i))
+        step = max(1, 50_000 // len(i))
         for k in range(0, len(at), step):
             own = at[k : k + step, None]
-            if len(i) <= 200_000:
+            if len(i) <= 50_000:
                 yield (own + i).reshape(-1), (own + j).reshape(-1)
             else:
-                for c in range(0, len(i), 200_000):
-                    yield own[0] + i[c : c + 200_000], own[0] + j[c : c + 200_000]
+                for c in range(0, len(i), 50_000):
+                    yield own[0] + i[c : c + 50_000], own[0] + j[c : c + 50_000]
     for at, n, m in zip(starts[firsts > 0], sizes[firsts > 0], firsts[firsts > 0], strict=True):
         j = np.arange(at + m, at + n)
-        step = max(1, 200_000 // max(1, len(j)))
+        step = max(1, 50_000 // max(1, len(j)))
         for k in range(at, at + m, step):
             i = np.arange(k, min(k + step, at + m))
             yield np.repeat(i, len(j)), np.tile(j, len(i))
@@ -266,7 +266,7 @@ def _links(pdf: pd.DataFrame, ratio: float, best: bool) -> pd.DataFrame:
         ok = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
         score = np.zeros(0)
-        for part, step in ((coarse, 100_000), (fine, 20_000)):
+        for part, step in ((coarse, 50_000), (fine, 5_000)):
             cuts = np.array_split(np.arange(len(i)), len(i) // step + 1)
             ok, score = (np.concatenate(x) for x in zip(*(fine_near(part[i[k]], part[j[k]], size[i[k]] + size[j[k]], ratio) for k in cuts), strict=True))
             i, j, score = i[ok], j[ok], score[ok]
