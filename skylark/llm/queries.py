@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylark.llm import balltree, chat, crosspolytope, htmltext, mixing, neardup, packing, pii, quality, tokencount
+from skylark.llm import balltree, chat, crosspolytope, fim, htmltext, mixing, neardup, packing, pii, quality, tokencount
 from skylark.llm.common import table
-from skylark.llm.oracles import OP1, OP5, OP7
+from skylark.llm.oracles import OP1, OP5, OP7, OP13
 from skylark.llm.vocab import public_path
 
 def mix_levels() -> dict[str, Column]:
@@ -67,7 +67,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_cross_polytope, op3_pack, op4_chat_format, op5_near_duplicates, op6_quality, op7_mix, op8_token_counts, op9_main_text, op10_pii)
+    f.__name__: f for f in (op1_exact_topk, op2_cross_polytope, op3_pack, op4_chat_format, op5_near_duplicates, op6_quality, op7_mix, op8_token_counts, op9_main_text, op10_pii, op13_fill_in_middle)
 }
-ORACLE_SQL = {"op1_exact_topk": OP1, "op5_near_duplicates": OP5, "op7_mix": OP7}
+ORACLE_SQL = {"op1_exact_topk": OP1, "op5_near_duplicates": OP5, "op7_mix": OP7, "op13_fill_in_middle": OP13}
