@@ -103,3 +103,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(text) AS restored_sha256
 FROM p
 """
+
+
+def _codes_sql() -> str:
+    """op11: six rounds of assignment and floored means, then the final assignment."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT vec_id, p, min(CAST(dist AS HUGEINT) * 16 + e) AS best
+  FROM (SELECT x.vec_id, x.p, b.e, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM x JOIN b{r} b ON b.p = x.p)
+  GROUP BY vec_id, p)"""
+    move = """,
+s{r} AS (SELECT x.p, CAST(a.best % 16 AS INTEGER) AS e, generate_subscripts(x.c, 1) AS i, unnest(x.c) AS v FROM x JOIN a{r} a ON a.vec_id = x.vec_id AND a.p = x.p),
+m{r} AS (SELECT p, e, i, CAST(sum(v) AS HUGEINT) AS s, count(*) AS n FROM s{r} GROUP BY p, e, i),
+n{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{r} GROUP BY p, e),
+b{next} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN n{r} n ON n.p = b.p AND n.e = b.e)"""
+    sql = """
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, CAST(t.range AS INTEGER) AS p, v[t.range * (len(v) // 8) + 1 : (t.range + 1) * (len(v) // 8)] AS c FROM k, range(8) t),
+b0 AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS e, c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16)),
+"""
+    for r in range(6):
+        sql += near.format(r=r) + move.format(r=r, next=r + 1) + ",\n"
+    return sql + near.format(r=6) + """,
+r AS (
+  SELECT a.vec_id, k.label, string_agg(lpad(to_hex(CAST(best % 16 AS BIGINT)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error
+  FROM a6 a JOIN k ON k.vec_id = a.vec_id GROUP BY a.vec_id, k.label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h
+"""
+
+
+OP11 = _codes_sql()
