@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylark.llm import balltree, chat, crosspolytope, fim, htmltext, mixing, neardup, packing, pii, quality, tokencount, vectorcodes
+from skylark.llm import balltree, chat, crosspolytope, fim, htmltext, langid, mixing, neardup, packing, pii, quality, tokencount, vectorcodes
 from skylark.llm.common import table
 from skylark.llm.oracles import OP1, OP5, OP7, OP11, OP13
 from skylark.llm.vocab import public_path
@@ -71,11 +71,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_topk, op2_cross_polytope, op3_pack, op4_chat_format, op5_near_duplicates, op6_quality, op7_mix, op8_token_counts, op9_main_text, op10_pii, op11_vector_codes, op13_fill_in_middle)
+    f.__name__: f for f in (op1_exact_topk, op2_cross_polytope, op3_pack, op4_chat_format, op5_near_duplicates, op6_quality, op7_mix, op8_token_counts, op9_main_text, op10_pii, op11_vector_codes, op12_languages, op13_fill_in_middle)
 }
 ORACLE_SQL = {"op1_exact_topk": OP1, "op5_near_duplicates": OP5, "op7_mix": OP7, "op11_vector_codes": OP11, "op13_fill_in_middle": OP13}
