@@ -236,8 +236,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """A model from FIT_ROWS rows of each language at most, those with the smallest hashes of their ids; a few words of each reach the driver."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where(F.length("text") > 0).groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= FIT_ROWS)
+    # a language's rows are thinned by the same hash before they are ordered, so that a hot language is no hot task
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    near = ids.join(F.broadcast(counts), "lang").where(place * F.col("_n") < 2 * FIT_ROWS * F.lit(1 << 32).cast("double"))
+    w = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = near.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= FIT_ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
