@@ -16,6 +16,8 @@ _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _RESULT = re.compile(r"<tool_result>(.*?)</tool_result>", re.S)
 #: An argument that is another call's result: {"$result": "<call id>"}.
 _REFERENCE = "$result"
+#: Levels up to which calls and results may nest; deeper ones count as no objects.
+DEEPEST = 100
 _PARSED = (
     "row long, conv_id long, turn long, role string, content string, "
     "calls array<struct<id:string,name:string,arguments:string,errors:array<string>,refs:array<string>>>, results array<struct<id:string,content:string>>"
@@ -24,7 +26,17 @@ _PARSED = (
 
 def canonical(value: object) -> str:
     """JSON with sorted keys, no spaces and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def shallow(value: object, deepest: int) -> bool:
+    """Whether lists and objects nest at most so many levels; level by level, so no depth is too much for this."""
+    level = [value]
+    for _ in range(deepest):
+        level = [y for x in level if isinstance(x, list | dict) for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, list | dict)]
+        if not level:
+            return True
+    return False
 
 
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
@@ -70,6 +82,8 @@ def _objects(pattern: re.Pattern, text: str) -> list[dict | None]:
     for m in pattern.finditer(text):
         try:
             x = json.loads(m[1])
+            # what is no canonical JSON is no object: too deep, NaN, infinite, or with half a surrogate pair
+            x = x if shallow(x, DEEPEST) and canonical(x).encode() else None
         except (ValueError, RecursionError):
             x = None
         out.append(x if isinstance(x, dict) else None)

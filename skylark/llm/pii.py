@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a later start in a run of digits cannot fit where its first does not
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -50,18 +51,50 @@ _SPELLED = re.compile(rf"(?i)(?<![^\W\d_]){_WORD}(?:[\s,-]+{_WORD}){{2,}}(?![^\W
 _ONE_WORD = re.compile(rf"(?i){_WORD}(?![^\W\d_])")
 _PLUS = re.compile(r"(?i)(?<![^\W\d_])(?:plus|más)(?=\s+[0-9])\s+")
 _DOTS, _NAME = "(?:" + "|".join(DOT_WORDS) + ")", "[a-z0-9][a-z0-9_+-]*"
-_BRACKET_AT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{'|'.join([*AT_WORDS, *AT_PROSE])}|a|@)\s*[\])}}>]\s*")
-_BRACKET_DOT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{_DOTS}|\.)\s*[\])}}>]\s*")
-_NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])\s+{_DOTS}\s+(?=[0-9])")
-_ADDRESS = re.compile("(?i)" + "|".join(
-    [rf"(?<![a-z0-9])(?:{_NAME}\s+(?:{d})\s+)*{_NAME}(?:\.{_NAME})*\s+{a}\s+[a-z0-9-]+(?:(?:\s+(?:{d})\s+|\.)[a-z0-9-]+)*\s+(?:{d})\s+[a-z]{{2,24}}(?![a-z0-9])" for a, d in AT_WORDS.items()]
-    + [rf"(?<![a-z0-9]){_NAME}(?:(?:\s+{d}\s+|\.){_NAME})*\s+{a}\s+[a-z0-9-]+(?:(?:\s+{d}\s+|\.)[a-z0-9-]+)*\s+{d}\s+(?:{'|'.join(ENDINGS)})(?![a-z0-9])" for a, d in AT_PROSE.items()]
-))
+# where white space may lead, a match starts at its first character or none, so that long runs are read once
+_BLANK = r"(?:(?<!\s)\s++)?"
+_BRACKET_AT = re.compile(rf"(?i){_BLANK}[\[({{<]\s*+(?:{'|'.join([*AT_WORDS, *AT_PROSE])}|a|@)\s*+[\])}}>]\s*+")
+_BRACKET_DOT = re.compile(rf"(?i){_BLANK}[\[({{<]\s*+(?:{_DOTS}|\.)\s*+[\])}}>]\s*+")
+_NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])\s++{_DOTS}\s++(?=[0-9])")
 _SPOKEN_DOTS = frozenset(DOT_WORDS)
-_SPOKEN_AT = re.compile(rf"(?i)\s+(?:{'|'.join([*AT_WORDS, *AT_PROSE])})\s+")
-_SPOKEN_DOT = re.compile(rf"(?i)\s+{_DOTS}\s+")
-_NEAR = re.compile(rf"(?i)@[a-z0-9-]+(?:(?:\s+{_DOTS}\s+|\.)[a-z0-9-]+)+")
-_BRACKETS = re.compile(rf"(?i)[\[({{<]\s*(?:{'|'.join([*AT_WORDS, *AT_PROSE, *DOT_WORDS])}|a|@|\.)\s*[\])}}>]")
+_SPOKEN_AT = re.compile(rf"(?i)(?<=\s)(?:{'|'.join([*AT_WORDS, *AT_PROSE])})(?=\s)")
+_SPOKEN_DOT = re.compile(rf"(?i)(?<!\s)\s++{_DOTS}\s++")
+
+
+def _around(dots: str, prose: bool) -> tuple[re.Pattern, re.Pattern]:
+    """What stands before a word for @, on the text read backwards, and what stands after it."""
+    name, back = "[a-z0-9_+-]*[a-z0-9]", "|".join(d[::-1] for d in dots.split("|"))
+    chain = rf"(?:(?:\s++(?:{back})\s++|\.){name})*" if prose else rf"(?:\.{name})*(?:\s++(?:{back})\s++{name})*"
+    ending = f"(?:{'|'.join(ENDINGS)})" if prose else "[a-z]{2,24}"
+    return re.compile(rf"(?i)\s++{name}{chain}(?![a-z0-9])"), re.compile(rf"(?i)\s++[a-z0-9-]+(?:(?:\s++(?:{dots})\s++|\.)[a-z0-9-]+)*\s++(?:{dots})\s++{ending}(?![a-z0-9])")
+
+
+_SIDES = {a: _around(d, False) for a, d in AT_WORDS.items()} | {a: _around(d, True) for a, d in AT_PROSE.items()}
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, user@host) of spoken addresses: around each word for @ the longest name before it and the host after it.
+
+    The @ stands for the last word for it, as a user's name comes first. Names and hosts of different
+    words do not overlap but for one label, so that the text is read a few times at most.
+    """
+    backwards, n, done = "", len(text), 0
+    for at in _SPOKEN_AT.finditer(text):
+        if at.start() < done:
+            continue
+        before, after = _SIDES[at[0].lower()]
+        host = after.match(text, at.end())
+        if not host:
+            continue
+        backwards = backwards or text[::-1]
+        user = before.match(backwards, n - at.start(), n - done)
+        if user:
+            start, done = n - user.end(), host.end()
+            yield start, done, _SPOKEN_DOT.sub(".", text[start : at.start()].rstrip()) + "@" + _SPOKEN_DOT.sub(".", host[0].lstrip())
+
+
+_NEAR = re.compile(rf"(?i)@[a-z0-9-]+(?:(?:\s++{_DOTS}\s++|\.)[a-z0-9-]+)+")
+_BRACKETS = re.compile(rf"(?i)[\[({{<]\s*+(?:{'|'.join([*AT_WORDS, *AT_PROSE, *DOT_WORDS])}|a|@|\.)\s*+[\])}}>]")
 
 
 def _luhn(digits: str) -> bool:
@@ -109,14 +142,12 @@ class Mapped:
     def __init__(self, text: str):
         self.text, self.lo, self.hi = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, to) -> None:
-        """Replace each match by ``to(match)``; what replaces a match stands for all of its source."""
+    def rewrite(self, found: Iterable[tuple[int, int, str]]) -> None:
+        """Put each new text in the place of what lies from its start to its end, all of whose source it stands for."""
         parts, lo, hi, done = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new == m[0]:
+        for a, b, new in found:
+            if new == self.text[a:b]:
                 continue
-            a, b = m.span()
             parts += [self.text[done:a], new]
             lo += self.lo[done:a] + [self.lo[a]] * len(new)
             hi += self.hi[done:a] + [self.hi[b - 1]] * len(new)
@@ -140,21 +171,20 @@ def _plain(m: re.Match) -> str:
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + UNSEEN + "⁰-₉①-⑨！-～\U0001d400-\U0001d7ff﹒﹫²³¹]|(?![0-9])\\d")
 
 
-def _spoken_address(m: re.Match) -> str:
-    """user@host of a spoken address; its only @ stands for the last word for it, as a user's name comes first."""
-    at = list(_SPOKEN_AT.finditer(m[0]))[-1]
-    return _SPOKEN_DOT.sub(".", m[0][: at.start()]) + "@" + _SPOKEN_DOT.sub(".", m[0][at.end() :])
+def _each(pattern: re.Pattern, to: Callable[[re.Match], str]) -> Callable[[str], Iterator[tuple[int, int, str]]]:
+    """A transducer that puts ``to`` of each match in its place."""
+    return lambda text: ((*m.span(), to(m)) for m in pattern.finditer(text))
 
 
 #: The transducers after that of single characters, in their order; each keeps every character's source range.
 TRANSDUCERS = (
-    (_SPELLED, lambda m: "".join(DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[0]))),
-    (_PLUS, lambda m: "+"),
-    (_NUMBER_DOT, lambda m: "."),
-    (_BRACKET_AT, lambda m: "@"),
-    (_BRACKET_DOT, lambda m: "."),
-    (_ADDRESS, _spoken_address),
-    (_NEAR, lambda m: _SPOKEN_DOT.sub(".", m[0])),
+    _each(_SPELLED, lambda m: "".join(DIGIT_WORDS[w.lower()] for w in _ONE_WORD.findall(m[0]))),
+    _each(_PLUS, lambda m: "+"),
+    _each(_NUMBER_DOT, lambda m: "."),
+    _each(_BRACKET_AT, lambda m: "@"),
+    _each(_BRACKET_DOT, lambda m: "."),
+    _addresses,
+    _each(_NEAR, lambda m: _SPOKEN_DOT.sub(".", m[0])),
 )
 
 
@@ -169,19 +199,29 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
         return []
     m = Mapped(text)
     if foreign:
-        m.rewrite(_FOREIGN, _plain)
-    for pattern, to in TRANSDUCERS:
-        m.rewrite(pattern, to)
+        m.rewrite(_each(_FOREIGN, _plain)(m.text))
+    for transducer in TRANSDUCERS:
+        m.rewrite(transducer(m.text))
     return [(m.lo[s], kind, m.hi[e - 1]) for s, kind, e in base_spans(m.text)]
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): a disguised one is added where it meets no base span of its kind."""
     base = base_spans(text)
+    found = disguised_spans(text)
+    if not found:
+        return base, base
     added: list[tuple[int, int, int]] = []
-    for s, kind, e in disguised_spans(text):
-        if not any(k == kind and a < e and s < b for a, k, b in [*base, *added]):
-            added.append((s, kind, e))
+    for kind in range(len(KINDS)):
+        own = sorted((s, e) for s, k, e in base if k == kind)
+        taken, last = [s for s, _ in own], 0
+        for s, k, e in found:
+            if k != kind or s < last:
+                continue
+            i = bisect_left(taken, e)  # base spans of a kind do not overlap, so the last that starts before the end tells
+            if not i or own[i - 1][1] <= s:
+                added.append((s, kind, e))
+                last = e
     return base, sorted(base + added)
 
 

@@ -206,7 +206,7 @@ def test_repeated_tokens_against_brute_force():
 
 
 def test_marked_words_alone_remove_nothing(spark, monkeypatch):
-    monkeypatch.setattr(htmltext, "SHARD_PAGES", 2)
+    monkeypatch.setattr(htmltext, "SHARD_WORDS", 60)
     page = lambda i: (
         f"<body><aside><article>teaser {i}</article></aside><article><h2 id='search-methods'>Search methods {i}</h2><p class='social-history'>Social history {i}"
         f"<p class='share-this-now'>share this page with all of your dear friends<div class='cookie-notice'>we use {i}</div></article>"
