@@ -186,9 +186,22 @@ def ant_segment(pattern: Column, segment: Column) -> Column:
 def ant_match(pattern: Column, path: Column) -> Column:
     """How an ant pattern fits a route: exact, speculative or NULL; ** stands for any segments, none included.
 
-    The states are the numbers of pattern segments passed, each with its best precision (2 exact, 1
-    speculative, 0 not reached); each path segment moves them all on at once.
+    A pattern of literals, but for a last * or **, is a test of the beginning on routes without holes. For
+    others the states are the numbers of pattern segments passed, each with its best precision (2 exact,
+    1 speculative, 0 not reached); each path segment moves them all on at once.
     """
+    even = ~pattern.rlike("//|.(?<!^)/$") & ~path.rlike("//|.(?<!^)/$|^[^/]|^$|[{]") & pattern.startswith("/")
+    deep, flat = F.regexp_replace(pattern, "/[*][*]$", ""), F.regexp_replace(pattern, "/[*]$", "")
+    plain = lambda c: ~c.rlike("[*?{]") & (c != "/")
+    below = lambda c: F.startswith(path, F.concat(c, F.lit("/")))
+    rest = path.substr(F.length(flat) + 2, F.length(path))
+    return (
+        F.when(pattern == "/**", "exact").when(even & pattern.endswith("/**") & plain(deep), F.when((path == deep) | below(deep), "exact"))
+        .when(even & pattern.endswith("/*") & plain(flat), F.when(below(flat) & (rest != "") & ~rest.contains("/"), "exact")).otherwise(_ant_general(pattern, path))
+    )
+
+
+def _ant_general(pattern: Column, path: Column) -> Column:
     return _once(F.struct(segments(pattern).alias("p"), segments(path).alias("s")), lambda both: _ant_states(both["p"], both["s"]))
 
 

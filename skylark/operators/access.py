@@ -10,10 +10,12 @@ OPERATIONS = ("create", "create-or-update", "read", "update", "delete", "unknown
 
 def summaries(access: DataFrame) -> DataFrame:
     """Per endpoint and entity (NULL is its own group) the operations in order and the distinct sites."""
-    order = F.array(*[F.lit(o) for o in OPERATIONS])
-    ops = F.filter(order, lambda o: F.array_contains(F.collect_set("operation"), o))
-    sites = [F.count_distinct(F.when(F.col("operation") == o, F.col("site"))).alias(f"n_{o.replace('-', '_')}") for o in ("create", "read", "update", "delete", "unknown")]
-    return access.groupBy("endpoint_id", "entity").agg(F.array_join(ops, ",").alias("operations"), F.count_distinct("site").alias("n_sites"), *sites)
+    does = lambda o: F.col(f"does_{o.replace('-', '_')}")
+    # a row for each site first, with what it does, so that no distinct count expands the rows
+    sites = access.groupBy("endpoint_id", "entity", "site").agg(*[F.bool_or(F.col("operation") == o).alias(f"does_{o.replace('-', '_')}") for o in OPERATIONS])
+    ops = F.filter(F.array(*[F.when(F.bool_or(does(o)), F.lit(o)) for o in OPERATIONS]), lambda o: o.isNotNull())
+    counts = [F.count_if(does(o) & F.col("site").isNotNull()).alias(f"n_{o}") for o in ("create", "read", "update", "delete", "unknown")]
+    return sites.groupBy("endpoint_id", "entity").agg(F.array_join(ops, ",").alias("operations"), F.count("site").alias("n_sites"), *counts)
 
 
 def usage(access: DataFrame) -> DataFrame:

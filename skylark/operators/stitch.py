@@ -55,18 +55,28 @@ def longest_prefix(calls: DataFrame, routes: DataFrame, key: list[str]) -> DataF
 def match_paths(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Every endpoint that a call's path and verb can land on; endpoint_id is NULL where there is none.
 
-    calls: target_id, path, http_verb; endpoints: endpoint_id, service_id, http_method, uri. Equal
-    service and segment count make the join an equi-join; the segments are compared within it. An
+    calls: target_id, path, http_verb; endpoints: endpoint_id, service_id, http_method, uri. An
     endpoint's hole fits anything; a hole of the call against a literal is a guess. An unknown verb
     fits any method.
+
+    Each distinct path of a service is matched once. The holes of a service's endpoints lie in few
+    ways, so a path is written with holes in each such way and meets endpoints by equality; only paths
+    with holes of their own are compared segment by segment.
     """
-    c = calls.withColumn("cs", segments(X.simplify_uri(F.col("path")))).withColumn("n", F.size("cs"))
-    e = endpoints.select(F.col("service_id").alias("_service"), "endpoint_id", "http_method", segments(F.col("uri")).alias("es")).withColumn("_n", F.size("es"))
+    e = endpoints.select(F.col("service_id").alias("target_id"), "endpoint_id", "http_method", segments(F.col("uri")).alias("es")).withColumn("n", F.size("es"))
+    ways = e.select("target_id", "n", F.transform("es", lambda x: x == HOLE).alias("way")).distinct()
+    p = calls.where("target_id IS NOT NULL AND path IS NOT NULL").select("target_id", "path").distinct().withColumn("cs", segments(X.simplify_uri(F.col("path")))).withColumn("n", F.size("cs"))
+    holed = F.array_contains("cs", HOLE)
+    joined = lambda c: F.array_join(c, "/")
+    keyed = e.select("target_id", joined(F.col("es")).alias("key"), "endpoint_id", "http_method")
+    key = joined(F.zip_with("cs", "way", lambda x, hole: F.when(hole, F.lit(HOLE)).otherwise(x))).alias("key")
+    plain = p.where(~holed).join(ways, ["target_id", "n"]).select("target_id", "path", key).join(keyed, ["target_id", "key"]).select("target_id", "path", "endpoint_id", "http_method", F.lit(False).alias("guess"))
     fits = F.forall(F.zip_with("cs", "es", lambda a, b: (b == HOLE) | (a == HOLE) | (a == b)), lambda x: x)
-    verb = F.col("http_verb").isNull() | (F.col("http_verb") == F.col("http_method"))
-    met = c.join(e, (F.col("target_id") == F.col("_service")) & (F.col("n") == F.col("_n")) & verb & fits, "left")
     guess = F.exists(F.zip_with("cs", "es", lambda a, b: (b != HOLE) & (a == HOLE)), lambda x: x)
-    return met.withColumn("guess", guess).drop("cs", "es", "n", "_n", "_service")
+    loose = p.where(holed).join(e, ["target_id", "n"]).where(fits).select("target_id", "path", "endpoint_id", "http_method", guess.alias("guess"))
+    met = plain.unionByName(loose).select(F.col("target_id").alias("_target"), F.col("path").alias("_path"), "endpoint_id", "http_method", "guess")
+    verb = F.col("http_verb").isNull() | (F.col("http_verb") == F.col("http_method"))
+    return calls.join(met, (F.col("target_id") == F.col("_target")) & (F.col("path") == F.col("_path")) & verb, "left").drop("_target", "_path")
 
 
 def env_maps(env: DataFrame) -> DataFrame:
@@ -118,6 +128,7 @@ def forwarded(calls: DataFrame, book: DataFrame, services: DataFrame, routes: Da
     """
     r = routes.select(F.col("service_id").alias("_g"), "ord", segments(F.regexp_replace(F.regexp_replace("prefix", r"\*+$", ""), "/+$", "")).alias("pre"), "target_uri", "strip")
     names = services.where("trim(app_name) <> ''").groupBy(F.lower(F.trim("app_name")).alias("_name")).agg(F.sort_array(F.collect_set("service_id")).alias("_named"))
+    r = r.groupBy("_g").agg(F.collect_list(F.struct("ord", "pre", "target_uri", "strip")).alias("_routes"))
     fixed = ["ids", "ambiguous", "mismatch", "indirect", "guessed"]
     todo, out = calls.withColumn("via", F.lit(False)).withColumn("out_path", F.col("path")).withColumn("name", F.col("host")), None
     add = lambda df: df if out is None else out.unionByName(df)
@@ -128,10 +139,12 @@ def forwarded(calls: DataFrame, book: DataFrame, services: DataFrame, routes: Da
         if todo.isEmpty():
             return out
         segs = segments(F.col("path"))
-        met = todo.join(r, (F.col("gateway") == F.col("_g")) & (F.size("pre") <= F.size(segs)) & (F.slice(segs, F.lit(1), F.size("pre")) == F.col("pre")), "left")
-        best = F.max_by(F.struct("pre", "target_uri", "strip"), F.struct(F.size("pre"), -F.col("ord"))).alias("route")
+        # a gateway's routes come as one array, so the best needs no shuffle
+        fits = F.filter("_routes", lambda x: (F.size(x["pre"]) <= F.size(segs)) & (F.slice(segs, F.lit(1), F.size(x["pre"])) == x["pre"]))
+        ranked = F.array_max(F.transform(fits, lambda x: F.struct(F.size(x["pre"]).alias("n"), (-x["ord"]).alias("o"), x["pre"].alias("pre"), x["target_uri"].alias("target_uri"), x["strip"].alias("strip"))))
         keys = [c for c in todo.columns]
-        met = met.groupBy(*keys).agg(best).join(locators.select(F.col("service_id").alias("gateway"), F.lit(True).alias("_locates")), "gateway", "left")
+        met = todo.join(r, F.col("gateway") == F.col("_g"), "left").select(*keys, ranked.alias("route"))
+        met = met.join(locators.select(F.col("service_id").alias("gateway"), F.lit(True).alias("_locates")), "gateway", "left")
         rewritten = X.strip_segments(F.col("path"), F.col("route.strip"))
         by_route = met.where("route.target_uri IS NOT NULL").withColumn("path", rewritten).withColumn("out_path", F.when(F.col("via"), F.col("out_path")).otherwise(F.col("path"))).withColumn("via", F.lit(True))
         to = F.trim("route.target_uri")

@@ -130,7 +130,7 @@ def _(v):
 
 @query("j13_stitch", _STITCH + "SELECT * FROM edges")
 def _(v):
-    return stitching.edges(v.spark, v.sf_dir)
+    return _edges(v)
 
 
 @query("a18_totals_by_kind", _STITCH + "SELECT k.target_kind, k.ord, count(e.call_id) AS n FROM (VALUES ('endpoint', 0), ('external', 1), ('placeholder', 2), ('undetermined', 3)) k(target_kind, ord) LEFT JOIN edges e USING (target_kind) GROUP BY ALL")
