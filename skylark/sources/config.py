@@ -67,7 +67,7 @@ def _text(value: object) -> str:
 def flattened(documents: DataFrame) -> DataFrame:
     """(path, ord, key, value) of nested JSON documents (path, content): dotted keys, lists joined by commas, lists of objects by number.
 
-    What is no JSON object has no entries.
+    What is no JSON object, or nests too deep, has no entries.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,10 +76,39 @@ def flattened(documents: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     found = json.loads(content or "")
+                    own = list(_flat(found, "")) if isinstance(found, dict) else []
                 except (ValueError, RecursionError):
                     continue
-                if isinstance(found, dict):
-                    rows += [(path, i, k, v) for i, (k, v) in enumerate(_flat(found, ""))]
+                rows += [(path, i, k, v) for i, (k, v) in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["path", "ord", "key", "value"])
+
+    return documents.select("path", "content").mapInPandas(run, "path string, ord int, key string, value string")
+
+
+def _settings(value: dict, key: str) -> Iterator[tuple[str, str]]:
+    for k, v in value.items():
+        own = f"{key}{k}".strip()
+        if isinstance(v, dict):
+            yield from _settings(v, f"{own}.")
+        elif isinstance(v, list):
+            yield own, ",".join(str(x) for x in v)
+        elif v is not None:
+            yield own, str(v)
+
+
+def entries_of_json(documents: DataFrame) -> DataFrame:
+    """(path, ord, key, value) of settings in JSON documents: dotted keys, every list joined by commas, values as they are written in Python, none for null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    found = json.loads(content or "")
+                    own = list(_settings(found, "")) if isinstance(found, dict) else []
+                except (ValueError, RecursionError):
+                    continue
+                rows += [(path, i, k, v) for i, (k, v) in enumerate(own)]
             yield pd.DataFrame(rows, columns=["path", "ord", "key", "value"])
 
     return documents.select("path", "content").mapInPandas(run, "path string, ord int, key string, value string")
