@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,27 +97,26 @@ def fine_near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, ratio: float) ->
     return same >= (ratio - SPREAD * spread) * used - 1, same / np.maximum(used, 1)
 
 
-def _batches(batches: Iterator[pd.DataFrame], words: int, rows: int = 256) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for pdf in batches:
-        for i in range(0, len(pdf), rows):
-            part = pdf.iloc[i : i + rows]
-            yield part, shingle_sets([t if isinstance(t, str) else None for t in part["text"]], words)
+def _batches(batches: Iterator[pa.RecordBatch], words: int, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            yield part, shingle_sets(part.column("text").to_pylist(), words)
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, sig, fine): the size, a 128-bit key, the signature and the sketch of every set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, words):
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full)) if full else iter(())
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets],
-                "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "sig": [next(sig).tobytes() if len(s) else None for s in sets], "fine": [fine_sketch(s).tobytes() if len(s) else None for s in sets],
-            })
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([fine_sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+            ], names=["doc_id", "n_shingles", "set_key", "sig", "fine"])
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, sig binary, fine binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, fine binary")
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -317,13 +317,13 @@ def across(members: DataFrame, reps: DataFrame, comps: DataFrame, ratio: float,
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, shingles): the whole sets of the wanted (rep, set_key) documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, words):
-            own = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(k) for s, k in zip(sets, part["set_key"], strict=True)], bool)
-            yield pd.DataFrame({"rep": part["doc_id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})[own]
+            own = [(i, s.view(np.int64)) for i, s, k in zip(part.column("doc_id").to_pylist(), sets, part.column("set_key").to_pylist(), strict=True) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([s for _, s in own], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
     named = wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash")
-    return docs.join(named, "doc_id").select("doc_id", "text", "set_key").mapInPandas(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
+    return docs.join(named, "doc_id").select("doc_id", "text", "set_key").mapInArrow(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

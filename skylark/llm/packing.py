@@ -25,17 +25,19 @@ from skylark.llm.common import bucket_of, materialise
 from skylark.llm.vocab import PLAIN, Words, loaded, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CACHES: dict[str, Words] = {}
+#: Chunks, and parts of them, whose ids a worker keeps in a generation of its caches.
+KEPT_WORDS = 120_000
+_CACHES: dict[str, tuple[Words, Words]] = {}
 
 
-def _ids_by_word(path: str) -> Words:
-    """Cache from UTF-8 chunks without ASCII white space to their ids' little-endian bytes.
+def _ids_by_word(path: str) -> tuple[Words, Words]:
+    """Caches from UTF-8 chunks without ASCII white space, and from parts of them, to their ids' little-endian bytes.
 
     Neither normalisation nor a token of this vocabulary crosses white space, so chunks can be
     encoded one by one, and the two parts of a plain word too.
     """
 
-    parts = Words(lambda part: [np.array(pieces(path, p), "<u4").tobytes() for p in part])
+    parts = Words(lambda part: [np.array(pieces(path, p), "<u4").tobytes() for p in part], KEPT_WORDS)
 
     def chunks(part: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in part]
@@ -46,7 +48,7 @@ def _ids_by_word(path: str) -> Words:
         return [parts[m[1].lower()] + parts[m[2]] if m else np.array(next(whole).ids, "<u4").tobytes() for m in cut]
 
     if path not in _CACHES:
-        _CACHES[path] = Words(chunks)
+        _CACHES[path] = Words(chunks, KEPT_WORDS), parts
     return _CACHES[path]
 
 
@@ -54,7 +56,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_c
     """The pieces of every document; its ids end with id 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, step = _ids_by_word(path), 4 * capacity
+        (known, parts), step = _ids_by_word(path), 4 * capacity
         for pdf in batches:
             rows = []
             for at in range(0, len(pdf), 64):
@@ -67,6 +69,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_c
                         own = ids[i : i + step]
                         rows.append((doc, i // step, i // 4, len(own) // 4, zlib.crc32(own)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        known.older, parts.older = {}, {}  # the worker may go on with other work
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
 

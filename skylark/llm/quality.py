@@ -137,7 +137,7 @@ def accepted(docs: DataFrame, labels: DataFrame, *, cut: float = 0.3, id_col: st
     model = train(docs, labels, cut=cut, id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             x = np.array([features(t) for t in batch.column(text_col).to_pylist()], float).reshape(-1, FEATURES)
             score = _sigmoid((x - model["mean"]) / model["std"] @ model["w"] + model["shift"])
             yield batch.filter(pa.array(score >= cut))
