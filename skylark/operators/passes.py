@@ -38,7 +38,7 @@ def ancestors(extends: DataFrame) -> DataFrame:
 
 
 def nearest_declarations(extends: DataFrame, declares: DataFrame) -> DataFrame:
-    """(type, method, declarer, distance): who declares a method nearest above each type; equal distances all count."""
+    """(type, method, declarer, distance): who declares a method nearest above each type; equal distances all count."""
     met = ancestors(extends).join(declares.select(F.col("type").alias("ancestor"), "method"), "ancestor")
     least = F.min("distance").over(Window.partitionBy("type", "method"))
     return met.withColumn("_least", least).where("distance = _least").select("type", "method", F.col("ancestor").alias("declarer"), "distance")
@@ -68,12 +68,12 @@ def reaching(uses: DataFrame, defs: DataFrame, edges: DataFrame, budget: int) ->
     back = edges.select("endpoint_id", F.col("target").alias("at"), F.col("source").alias("up"))
     stop = defs.select("endpoint_id", F.col("node_id").alias("at"), F.lit(True).alias("hit"))
     live = seen = written(uses.select(*keys, F.col("node_id").alias("at")), "reach")
-    found = None
+    found = live.limit(0).select(*keys, F.col("at").alias("def_node"), F.lit(False).alias("exhausted"))
     for _ in range(budget):
         step = live.join(back, ["endpoint_id", "at"]).select(*keys, F.col("up").alias("at")).distinct().join(seen, [*keys, "at"], "left_anti")
         step = written(step.join(stop, ["endpoint_id", "at"], "left"), "reach")
         hit = step.where("hit").select(*keys, F.col("at").alias("def_node"), F.lit(False).alias("exhausted"))
-        found = hit if found is None else found.unionByName(hit)
+        found = found.unionByName(hit)
         live = step.where("hit IS NULL").select(*keys, "at")
         seen = seen.unionByName(step.select(*keys, "at"))
         if live.isEmpty():
@@ -94,12 +94,15 @@ def unreachable(sinks: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFra
     return sinks.join(reached, "node", "left_anti")
 
 
-def concatenated(operands: DataFrame) -> DataFrame:
-    """(expr, candidate): of operands (expr, ord, value) every text that one value of each gives, in order.
+def concatenated(operands: DataFrame, most: int = 1000) -> DataFrame:
+    """(expr, candidate): of operands (expr, ord, value) every text that one value of each gives, in order.
 
-    Candidates multiply by nature, so an expression keeps its candidates as one array until the end.
+    Candidates multiply by nature; an expression that would have more than ``most`` fails, as ``slicing`` has the
+    evaluation that keeps some and tells what it cut.
     """
     per = operands.groupBy("expr", "ord").agg(F.array_sort(F.collect_set("value")).alias("vs"))
+    number = F.aggregate(F.collect_list(F.size("vs")), F.lit(1).cast("double"), lambda a, n: a * n)
+    per = per.join(per.groupBy("expr").agg(number.alias("_n")), "expr").withColumn("vs", F.when(F.col("_n") > most, F.raise_error(F.lit("too many candidates")).cast("array<string>")).otherwise(F.col("vs")))
     listed = per.groupBy("expr").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "vs"))), lambda x: x["vs"]).alias("parts"))
     cross = lambda acc, vs: F.flatten(F.transform(acc, lambda a: F.transform(vs, lambda b: F.concat(a, b))))
     return listed.select("expr", F.explode(F.aggregate("parts", F.array(F.lit("")), cross)).alias("candidate")).distinct()

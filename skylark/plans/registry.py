@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skylark.functions import text as X
 from skylark.operators import access, coverage, graph, measure, reads, rules, stitch
-from skylark.plans import assembly, deployment, evidence, flows, generics, reading, reconcile, scalars, sinks, slicing, statements, stitching, syntax  # noqa: F401
+from skylark.plans import assembly, deployment, evidence, flows, generics, reading, reconcile, rule_evidence, scalars, sinks, slicing, statements, stitching, syntax  # noqa: F401
 from skylark.plans.catalog import ORACLES, QUERIES, Views, query  # noqa: F401
 from skylark.sources import tables
 from skylark.streaming import queue

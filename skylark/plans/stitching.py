@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skylark.operators import stitch
-from skylark.plans.synthetic import view
+from skylark.plans.synthetic import version, view
 from skylark.sources.shared import written
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 _START = r"""
 WITH own AS MATERIALIZED (SELECT * FROM syn_remote WHERE reachable AND NOT suspected),
@@ -104,8 +104,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge table that reads scan: stitched once for each folder and session, as a snapshot's table is."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The edge table that reads scan: stitched once for each state of a folder and session, as a snapshot's table is."""
+    key = version(spark, sf_dir)
     if key not in _STORED:
         _STORED[key] = written(edges(spark, sf_dir), "edges")
     return _STORED[key]

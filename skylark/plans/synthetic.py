@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylark.sources.shared import written
+from skylark.sources.shared import modified, written
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 VIEWS = {
     "syn_service": """
         SELECT s_suppkey AS service_id, n_regionkey AS snapshot_id, lower(replace(s_name, '#', '-')) AS name,
@@ -115,11 +115,16 @@ def _names(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
+def version(spark: SparkSession, sf_dir: str) -> tuple[str, str, tuple[int, ...]]:
+    """What tells one state of a folder in a session: the session, the folder and when each of its tables was changed."""
+    return spark.sparkContext.applicationId, sf_dir, tuple(modified(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A plain table, or a synthetic one, which is written once for each folder and session as a snapshot's tables are."""
+    """A plain table, or a synthetic one, which is written once for each state of a folder and session as a snapshot's tables are."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (*version(spark, sf_dir), name)
     if key not in _STORED:
         text = VIEWS[name]
         _STORED[key] = written(spark.sql(text, **{n: view(spark, sf_dir, n) for n in _names(text)}), name)

@@ -27,3 +27,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, 0 where there is none, by the file system that Spark reads it with."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else 0

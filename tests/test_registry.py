@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: One or two of each family; the driver compares all of them.
 NAMES = (
     "f01_simplify_uri", "f02_repositories", "f05_url_parts", "f06_expanded_keys", "f19_access_effects", "f27_merged_claims", "f38_blanked_source", "j13_stitch", "j21_system_graph", "j26_binding_entries",
-    "j27_ant_matches", "j34_tables_to_entities", "j36_sites_in_methods", "s11_merged_settings", "s14_flattened_settings", "g12_witness_paths", "g13_governing_conditions", "y18_reaching_definitions", "y24_nearest_declarations", "w14_folded_copies", "f35_query_accesses", "x31_statement_flow", "g05_assembled_flow", "g14_canvas_edges", "x23_generic_bindings", "x20_sliced_urls",
+    "j27_ant_matches", "j34_tables_to_entities", "j36_sites_in_methods", "s11_merged_settings", "s14_flattened_settings", "g12_witness_paths", "g13_governing_conditions", "y18_reaching_definitions", "y24_nearest_declarations", "w14_folded_copies", "f35_query_accesses", "x31_statement_flow", "g05_assembled_flow", "g14_canvas_edges", "x23_generic_bindings", "x20_sliced_urls", "z12_rule_evidence",
 )
 
 
