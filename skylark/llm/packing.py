@@ -22,22 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylark.llm.common import bucket_of, materialise
-from skylark.llm.vocab import PLAIN, Words, loaded, pieces
+from skylark.llm.vocab import CACHE_WORDS, PLAIN, Words, loaded, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Chunks, and parts of them, whose ids a worker keeps in a generation of its caches.
-KEPT_WORDS = 120_000
-_CACHES: dict[str, tuple[Words, Words]] = {}
+_CACHES: dict[tuple[str, int], tuple[Words, Words]] = {}
 
 
-def _ids_by_word(path: str) -> tuple[Words, Words]:
+def _ids_by_word(path: str, kept: int) -> tuple[Words, Words]:
     """Caches from UTF-8 chunks without ASCII white space, and from parts of them, to their ids' little-endian bytes.
 
     Neither normalisation nor a token of this vocabulary crosses white space, so chunks can be
     encoded one by one, and the two parts of a plain word too.
     """
 
-    parts = Words(lambda part: [np.array(pieces(path, p), "<u4").tobytes() for p in part], KEPT_WORDS)
+    parts = Words(lambda part: [np.array(pieces(path, p), "<u4").tobytes() for p in part], kept)
 
     def chunks(part: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in part]
@@ -47,16 +45,16 @@ def _ids_by_word(path: str) -> tuple[Words, Words]:
         parts.learn({p for m in cut if m for p in (m[1].lower(), m[2])})
         return [parts[m[1].lower()] + parts[m[2]] if m else np.array(next(whole).ids, "<u4").tobytes() for m in cut]
 
-    if path not in _CACHES:
-        _CACHES[path] = Words(chunks, KEPT_WORDS), parts
-    return _CACHES[path]
+    if (path, kept) not in _CACHES:
+        _CACHES[path, kept] = Words(chunks, kept), parts
+    return _CACHES[path, kept]
 
 
-def encode_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, kept: int = CACHE_WORDS) -> DataFrame:
     """The pieces of every document; its ids end with id 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (known, parts), step = _ids_by_word(path), 4 * capacity
+        (known, parts), step = _ids_by_word(path, kept), 4 * capacity
         for pdf in batches:
             rows = []
             for at in range(0, len(pdf), 64):
@@ -205,15 +203,16 @@ def _slots(plans: Counter) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 50_000, kept_words: int = CACHE_WORDS) -> DataFrame:
     """Pack whole documents into as few sequences of at most ``capacity`` tokens as it can.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document's ids are the
     tokenizer's without special tokens, then id 0, so a null or empty text is one piece of length 1.
     Longer documents are cut into pieces of ``capacity``; the last may be shorter. Repeated rows are
-    packed as often as they appear; an empty table gives no rows; other columns are ignored.
+    packed as often as they appear; an empty table gives no rows; other columns are ignored. A worker
+    keeps the ids of ``kept_words`` words in each generation of its caches, which changes no result.
     """
-    cut = materialise(encode_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    cut = materialise(encode_pieces(docs, tokenizer, capacity, id_col, text_col, kept_words), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(histogram, capacity)[0])
     parts = max(1, math.ceil(max(histogram.values(), default=0) / group_rows))
