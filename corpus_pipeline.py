@@ -20,6 +20,8 @@ from skylark.llm.vocab import public_path
 LEAST_QUALITY = 0.3
 #: Thousandths of the tokens that reach the mixture which it takes.
 MIX_PERMILLE = 900
+#: Words whose ids a worker keeps while it packs: fewer than packing alone keeps, as workers hold other stages' caches too.
+KEPT_WORDS = 120_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer=public_path("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer=public_path("word_bpe_49k.json"), kept_words=KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
