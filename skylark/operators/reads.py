@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylark.functions import text as X
+from skylark.operators.stitch import Edges
+
 
 def services_with_counts(services: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Every service with its number of endpoints, 0 where it has none."""
@@ -27,18 +30,42 @@ def edge_rows(edges: DataFrame, services: DataFrame, endpoints: DataFrame) -> Da
     return joined.select("call_id", "caller", "target_kind", label.alias("target"), "confidence")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
+def both_ways(edges: Edges) -> DataFrame:
     """Per service, edges out and edges in."""
-    out = edges.groupBy("service_id").agg(F.count("*").alias("n")).withColumn("direction", F.lit("outbound"))
-    into = edges.where("target_service_id IS NOT NULL").groupBy(F.col("target_service_id").alias("service_id")).agg(F.count("*").alias("n")).withColumn("direction", F.lit("inbound"))
+    out = edges.rows.groupBy("service_id").agg(F.sum("n").alias("n")).withColumn("direction", F.lit("outbound"))
+    asked = edges.rows.where("state = 'endpoint'").groupBy("at", "path", "guess", "http_verb", "state").agg(F.count("*").alias("n"))
+    into = edges.reached(asked).groupBy(F.col("target_id").alias("service_id")).agg(F.sum("n").alias("n")).withColumn("direction", F.lit("inbound"))
     return out.unionByName(into)
 
 
-def dependencies(edges: DataFrame) -> DataFrame:
+def dependencies(edges: Edges) -> DataFrame:
     """Per service one row for each distinct target, its first call kept."""
-    label = F.coalesce(F.concat(F.lit("endpoint:"), F.col("target_endpoint_id").cast("string")), F.concat(F.lit("host:"), F.col("external_host")))
-    w = Window.partitionBy("service_id", "label").orderBy("call_id")
-    return edges.withColumn("label", label).where("label IS NOT NULL").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("service_id", "label", "call_id")
+    asked = edges.rows.groupBy("service_id", "state", "at", "path", "guess", "http_verb", "external_host").agg(F.min("call_id").alias("call_id"))
+    ends = edges.reached(asked).groupBy("service_id", "endpoint_id").agg(F.min("call_id").alias("call_id"))
+    hosts = asked.where("external_host IS NOT NULL").groupBy("service_id", "external_host").agg(F.min("call_id").alias("call_id"))
+    ends = ends.select("service_id", F.concat(F.lit("endpoint:"), F.col("endpoint_id").cast("string")).alias("label"), "call_id")
+    return ends.unionByName(hosts.select("service_id", F.concat(F.lit("host:"), "external_host").alias("label"), "call_id"))
+
+
+def distinct_targets(edges: Edges) -> DataFrame:
+    """(service_id, label): the distinct targets of each service, the undetermined as one."""
+    asked = edges.rows.select("service_id", "state", "at", "path", "guess", "http_verb", "external_host").distinct()
+    ends = edges.reached(asked).select("service_id", "endpoint_id").distinct().select("service_id", F.concat(F.lit("endpoint:"), F.col("endpoint_id").cast("string")).alias("label"))
+    others = asked.where("state <> 'endpoint'").select("service_id", F.coalesce(F.concat(F.lit("host:"), "external_host"), F.lit("undetermined")).alias("label"))
+    return ends.unionByName(others.distinct())
+
+
+def target_keys(edges: Edges) -> DataFrame:
+    """(key): what identifies each distinct target."""
+    asked = edges.rows.select("state", "at", "path", "guess", "http_verb", "target_kind", "external_host").distinct()
+    key = lambda df, endpoint: df.select(X.target_key(F.col("target_kind"), endpoint, F.col("external_host")).alias("key")).distinct()
+    return key(edges.reached(asked), F.col("endpoint_id")).unionByName(key(asked.where("state <> 'endpoint'"), F.lit(None)))
+
+
+def unresolved(edges: Edges) -> DataFrame:
+    """(reason, n, n_services): undetermined edges by reason."""
+    per = edges.rows.where("reason IS NOT NULL").groupBy("reason", "service_id").agg(F.sum("n").alias("n"))
+    return per.groupBy("reason").agg(F.sum("n").alias("n"), F.count("service_id").alias("n_services"))
 
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -104,29 +131,34 @@ def exists(df: DataFrame) -> DataFrame:
     return df.limit(1).agg((F.count("*") > 0).alias("found"))
 
 
-def edges_of(edges: DataFrame, service_id: int, direction: str) -> DataFrame:
+def edges_of(edges: Edges, service_id: int, direction: str) -> DataFrame:
     """The edges that leave a service or arrive at it."""
-    return edges.where(F.col("service_id" if direction == "outbound" else "target_service_id") == service_id)
+    if direction == "outbound":
+        return edges.where(F.col("service_id") == service_id).full()
+    return Edges(edges.rows.where("state = 'endpoint'"), edges.matches.where(F.col("target_id") == service_id), edges.members).full()
 
 
-def edges_of_calls(edges: DataFrame, calls: DataFrame) -> DataFrame:
+def edges_of_calls(edges: Edges, calls: DataFrame) -> DataFrame:
     """The edges of some calls."""
-    return edges.join(calls.select("call_id").distinct(), "call_id", "left_semi")
+    return Edges(edges.rows.join(calls.select("call_id").distinct(), "call_id", "left_semi"), edges.matches, edges.members).full()
 
 
-def outbound(flow_calls: DataFrame, edges: DataFrame, reports: DataFrame) -> DataFrame:
+def outbound(flow_calls: DataFrame, edges: Edges, reports: DataFrame) -> DataFrame:
     """(endpoint_id, n_edges, stitched): each flow's edges; without a report of its snapshot the number is NULL and not 0."""
-    n = flow_calls.join(edges.select("call_id", "target_kind"), "call_id", "left").groupBy("endpoint_id").agg(F.count("target_kind").alias("n"))
+    n = flow_calls.join(edges.rows.groupBy("call_id").agg(F.sum("n").alias("n")), "call_id", "left").groupBy("endpoint_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     done = exists(reports).withColumnRenamed("found", "stitched")
     return n.join(F.broadcast(done), F.lit(True)).select("endpoint_id", F.when(F.col("stitched"), F.col("n")).alias("n_edges"), "stitched")
 
 
-def system_graph(edges: DataFrame, services: DataFrame) -> DataFrame:
+def system_graph(edges: Edges, services: DataFrame) -> DataFrame:
     """(caller, target, kind, n): stitched edges between names, and undetermined ones to nothing."""
-    caller = services.select("service_id", F.col("name").alias("caller"))
-    target = services.select(F.col("service_id").alias("target_service_id"), F.col("name").alias("target_name"))
-    full = edges.join(caller, "service_id", "left").join(target, "target_service_id", "left")
-    return full.groupBy(F.coalesce("caller", F.col("service_id").cast("string")).alias("caller"), F.coalesce("target_name", "external_host").alias("target"), F.col("target_kind").alias("kind")).agg(F.count("*").alias("n"))
+    callers = services.select("service_id", F.col("name").alias("caller"))
+    names = services.select(F.col("service_id").alias("target_id"), F.col("name").alias("target"))
+    asked = edges.rows.join(callers, "service_id", "left").withColumn("caller", F.coalesce("caller", F.col("service_id").cast("string")))
+    asked = asked.groupBy("caller", "state", "at", "path", "guess", "http_verb", "target_kind", "external_host").agg(F.sum("n").alias("_edges"), F.count("*").alias("_calls"))
+    ends = edges.reached(asked).groupBy("caller", "target_id", "target_kind").agg(F.sum("_calls").alias("n")).join(names, "target_id", "left").select("caller", "target", "target_kind", "n")
+    others = asked.where("state <> 'endpoint'").select("caller", F.col("external_host").alias("target"), "target_kind", F.col("_edges").alias("n"))
+    return ends.unionByName(others).groupBy("caller", "target", F.col("target_kind").alias("kind")).agg(F.sum("n").alias("n"))
 
 
 def selected_entity(rows: DataFrame, wanted: DataFrame) -> DataFrame:

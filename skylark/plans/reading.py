@@ -213,18 +213,17 @@ def _(v):
 
 @query("a29_unresolved_by_reason", _EDGES + "SELECT reason, count(*) AS n, count(DISTINCT service_id) AS n_services FROM edges WHERE reason IS NOT NULL GROUP BY reason")
 def _(v):
-    return _edges(v).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("service_id").alias("n_services")).orderBy(F.desc("n"), "reason")
+    return reads.unresolved(_edges(v)).orderBy(F.desc("n"), "reason")
 
 
 @query("a34_distinct_targets", _EDGES + "SELECT DISTINCT service_id, coalesce('endpoint:' || target_endpoint_id, 'host:' || external_host, 'undetermined') AS label FROM edges")
 def _(v):
-    label = F.coalesce(F.concat(F.lit("endpoint:"), F.col("target_endpoint_id").cast("string")), F.concat(F.lit("host:"), F.col("external_host")), F.lit("undetermined"))
-    return _edges(v).select("service_id", label.alias("label")).distinct()
+    return reads.distinct_targets(_edges(v))
 
 
 @query("f04_target_keys", _EDGES + "SELECT DISTINCT CASE target_kind WHEN 'endpoint' THEN CAST(target_endpoint_id AS VARCHAR) WHEN 'external' THEN 'external:' || external_host WHEN 'placeholder' THEN 'placeholder:' || external_host ELSE 'undetermined' END AS key FROM edges")
 def _(v):
-    return _edges(v).select(X.target_key(F.col("target_kind"), F.col("target_endpoint_id"), F.col("external_host")).alias("key")).distinct()
+    return reads.target_keys(_edges(v))
 
 
 _OPERATIONS = [("save", "create-or-update"), ("find", "read"), ("get", "read"), ("delete", "delete"), ("update", "update")]
