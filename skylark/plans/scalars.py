@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylark.functions import text as X
+from skylark.operators import rules
 from skylark.plans.catalog import query
 
 
@@ -169,8 +170,8 @@ SELECT endpoint_id, rule_id, CASE form WHEN 'deep' THEN CASE WHEN regexp_matches
 def _(v):
     three = F.col("rule_id") % 3
     form = F.when(three == 0, "/**/brand-1*").when(three == 1, "/smal?/**").otherwise("/*/*/item")
-    p = v.syn_endpoint.select("endpoint_id", "service_id", "uri").join(v.syn_rule.select("rule_id", "service_id"), "service_id")
-    return p.select("endpoint_id", "rule_id", X.ant_match(form, F.col("uri")).alias("precision"))
+    p = v.syn_endpoint.select("endpoint_id", "service_id", "uri").join(v.syn_rule.select("rule_id", "service_id", form.alias("pattern")), "service_id")
+    return rules.matched(p, "pattern", "uri").select("endpoint_id", "rule_id", "precision")
 
 
 @query("a39_error_rates", """
