@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylark.functions import text as X
+from skylark.operators.graph import merged_intervals
+from skylark.operators.reconcile import files_met
 from skylark.operators.stitch import Edges
 
 
@@ -194,13 +196,17 @@ def tables_to_entities(uses: DataFrame, entities: DataFrame) -> DataFrame:
 def inside_any(sites: DataFrame, spans: DataFrame) -> DataFrame:
     """The sites (site_id, file, line) that lie in a span (file, lo, hi) of the same file, told by its path's end.
 
-    Files meet by their base name, so the join is an equi-join and the path's end a condition within it.
+    Spans of a file are merged first, and of its sites each line is looked up once: lines and spans are rows of one order and a line
+    lies in the last span that begins at or before it, so no line is compared with all spans.
     """
-    base = lambda c: F.substring_index(c, "/", -1)
-    s = spans.select(F.col("file").alias("_file"), "lo", "hi").withColumn("_base", base("_file"))
-    tail = F.endswith("file", F.concat(F.lit("/"), F.col("_file"))) | F.endswith("_file", F.concat(F.lit("/"), F.col("file"))) | (F.col("file") == F.col("_file"))
-    on = (base("file") == F.col("_base")) & F.col("line").between(F.col("lo"), F.col("hi")) & tail
-    return sites.join(s, on, "left_semi")
+    own = spans.where("lo <= hi").select(F.col("file").alias("o_file"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).distinct()
+    own = merged_intervals(files_met(sites, own).join(own, "o_file").select("file", "lo", "hi").distinct(), ["file"])
+    lines = sites.where("file IS NOT NULL AND line IS NOT NULL").select("file", F.col("line").cast("long").alias("line")).distinct()
+    events = own.select("file", F.col("lo").alias("at"), F.lit(0).alias("is_line"), "hi").unionByName(lines.select("file", F.col("line").alias("at"), F.lit(1).alias("is_line"), F.lit(None).cast("long").alias("hi")))
+    upto = Window.partitionBy("file").orderBy("at", "is_line").rowsBetween(Window.unboundedPreceding, 0)
+    held = events.withColumn("_hi", F.last("hi", True).over(upto)).where("is_line = 1 AND at <= _hi").select(F.col("file").alias("_file"), F.col("at").alias("_line"))
+    return sites.join(held, (F.col("file") == F.col("_file")) & (F.col("line") == F.col("_line")), "left_semi")
+
 
 
 def first_rule(rows: DataFrame, text: str, rules: list[tuple[str, str]], default: str):
