@@ -29,8 +29,10 @@ def usage(access: DataFrame) -> DataFrame:
 
 def matrix(access: DataFrame) -> DataFrame:
     """Entity by operation, distinct endpoints in each cell."""
-    cells = [F.count_distinct(F.when(F.col("operation") == o, F.col("endpoint_id"))).alias(o.replace("-", "_")) for o in OPERATIONS]
-    return access.where("entity IS NOT NULL").groupBy("entity").agg(*cells)
+    does = lambda o: f"does_{o.replace('-', '_')}"
+    # a row for each endpoint first, as in summaries
+    rows = access.where("entity IS NOT NULL").groupBy("entity", "endpoint_id").agg(*[F.bool_or(F.col("operation") == o).alias(does(o)) for o in OPERATIONS])
+    return rows.groupBy("entity").agg(*[F.count_if(F.col(does(o)) & F.col("endpoint_id").isNotNull()).alias(o.replace("-", "_")) for o in OPERATIONS])
 
 
 def service_counts(access: DataFrame, services: DataFrame) -> DataFrame:
