@@ -58,19 +58,20 @@ def arms_leaving(statements: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def method_flow(methods: DataFrame, statements: DataFrame, flow: DataFrame) -> DataFrame:
-    """(method, source, target, kind, back): each method's own flow between entry, statements and exit.
+    """(method, source, target, kind, back): each method's own flow between its nodes; a NULL source is its entry, a NULL target its exit.
 
     The entry leads to statements that nothing enters; what leads nowhere, a return and an arm that leaves lead to
     the exit. A method without statements goes from its entry to its exit.
     """
     local = written(local_flow(statements, flow), "local")
-    inner = local.where("has_source AND has_target").select("method", node_id(F.col("method"), F.col("source")).alias("source"), node_id(F.col("method"), F.col("target")).alias("target"), F.col("label").alias("kind"), "back")
+    null, plain = F.lit(None).cast(dict(statements.dtypes)["node"]), [F.lit("flow").alias("kind"), F.lit(False).alias("back")]
+    inner = local.where("has_source AND has_target").select("method", "source", "target", F.col("label").alias("kind"), "back")
     entered = local.where("has_source").select("method", F.col("target").alias("node")).distinct()
     left = local.where("has_target").select("method", F.col("source").alias("node")).distinct()
-    first = statements.select(*_NODE).join(entered, _NODE, "left_anti").select("method", _end(F.col("method"), "entry").alias("source"), node_id(F.col("method"), F.col("node")).alias("target"), F.lit("flow").alias("kind"), F.lit(False).alias("back"))
+    first = statements.select(*_NODE).join(entered, _NODE, "left_anti").select("method", null.alias("source"), F.col("node").alias("target"), *plain)
     ends = statements.select(*_NODE).join(left, _NODE, "left_anti").unionByName(statements.where("kind = 'return'").select(*_NODE)).withColumn("label", F.lit("flow"))
-    out = ends.unionByName(arms_leaving(statements, local)).distinct().select("method", node_id(F.col("method"), F.col("node")).alias("source"), _end(F.col("method"), "exit").alias("target"), F.col("label").alias("kind"), F.lit(False).alias("back"))
-    bare = methods.select("method").join(statements.select("method").distinct(), "method", "left_anti").select("method", _end(F.col("method"), "entry").alias("source"), _end(F.col("method"), "exit").alias("target"), F.lit("flow").alias("kind"), F.lit(False).alias("back"))
+    out = ends.unionByName(arms_leaving(statements, local)).distinct().select("method", F.col("node").alias("source"), null.alias("target"), F.col("label").alias("kind"), F.lit(False).alias("back"))
+    bare = methods.select("method").join(statements.select("method").distinct(), "method", "left_anti").select("method", null.alias("source"), null.alias("target"), *plain)
     return inner.unionByName(first).unionByName(out).unionByName(bare)
 
 
@@ -93,16 +94,19 @@ def assembled(endpoints: DataFrame, methods: DataFrame, statements: DataFrame, f
     put together once and joined to all endpoints that inline them.
     """
     inside = written(inlined(endpoints, methods, statements).select("endpoint_id", "method"), "inlined")
-    m = F.col("method")
-    shown = statements.select("method", node_id(m, F.col("node")).alias("id"), "kind", "node")
-    ends = methods.select("method").distinct().select("method", F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("kind")).select("method", F.concat(F.lit("m"), m.cast("string"), F.lit(":"), F.col("kind")).alias("id"), "kind", F.lit(None).cast(dict(statements.dtypes)["node"]).alias("node"))
-    nodes = inside.join(shown.unionByName(ends), "method").select("endpoint_id", "id", "kind", "method", "node")
+    m, none = F.col("method"), F.lit(None)
+    # ids are texts, so they are made after the rows have met
+    shown = inside.join(statements.select("method", "kind", "node"), "method").select("endpoint_id", node_id(m, F.col("node")).alias("id"), "kind", "method", "node")
+    ends = inside.select("endpoint_id", "method", F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("kind"))
+    ends = ends.select("endpoint_id", F.concat(F.lit("m"), m.cast("string"), F.lit(":"), "kind").alias("id"), "kind", "method", none.cast(dict(statements.dtypes)["node"]).alias("node"))
     calls = statements.where("resolved AND callee IS NOT NULL").join(methods.select(F.col("method").alias("callee")).distinct(), "callee", "left_semi")
-    at = node_id(m, F.col("node"))
-    there = calls.select("method", at.alias("source"), _end(F.col("callee"), "entry").alias("target"), F.lit("call").alias("kind"), F.lit(False).alias("back"))
-    home = calls.select("method", _end(F.col("callee"), "exit").alias("source"), at.alias("target"), F.lit("return").alias("kind"), F.lit(False).alias("back"))
-    edges = inside.join(method_flow(methods, statements, flow).unionByName(there).unionByName(home), "method").select("endpoint_id", "source", "target", "kind", "back")
-    return nodes, edges
+    calls = calls.select("method", F.col("node").alias("source"), none.cast(dict(statements.dtypes)["node"]).alias("target"), F.lit("call").alias("kind"), F.lit(False).alias("back"), "callee")
+    met = inside.join(method_flow(methods, statements, flow).withColumn("callee", none.cast(dict(statements.dtypes)["callee"])).unionByName(calls), "method")
+    at, called = node_id(m, F.col("source")), F.col("callee")
+    edge = lambda source, target, kind: F.struct(source.alias("source"), target.alias("target"), kind.alias("kind"), "back")
+    own = edge(F.coalesce(at, _end(m, "entry")), F.coalesce(node_id(m, F.col("target")), _end(m, "exit")), F.col("kind"))
+    pair = F.array(edge(at, _end(called, "entry"), F.lit("call")), edge(_end(called, "exit"), at, F.lit("return")))
+    return shown.unionByName(ends), met.select("endpoint_id", F.inline(F.when(called.isNotNull(), pair).otherwise(F.array(own))))
 
 
 def anomalies(statements: DataFrame, flow: DataFrame) -> DataFrame:

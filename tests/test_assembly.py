@@ -90,3 +90,18 @@ def test_canvas(spark):
     assert ("stmt:m1:n1", "stmt:m1:n2", "flow") in e and ("stmt:m1:n3", "method:2", "call") in e and ("method:2", "method", 2) in n
     stitched = spark.createDataFrame([("c1", 10), ("c1", 20), ("c2", None)], "remote_call_id string, target_endpoint_id long")
     assert sorted(map(tuple, A.downstream(nodes, remote, stitched).collect())) == [(10, "c1", 10), (10, "c1", 20)]
+
+
+def test_ids_are_made_after_rows_have_met(spark):
+    statements, flow = _frames(spark, [_s(1, 1, "call", callee=2), _s(2, 4)], {1: "1>1", 2: "4>4"})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, edges = A.assembled(spark.createDataFrame([(10, 1)], "endpoint_id long, method long"), spark.createDataFrame([(1,), (2,)], "method long"), statements, flow)
+        for df in (nodes, edges):
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            last = max(i for i, x in enumerate(plan) if "Exchange" in x)
+            assert not any("concat(" in x for x in plan[min(i for i, x in enumerate(plan) if "Exchange" in x) : last + 1]), plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert {(r.source, r.target, r.kind) for r in edges.collect() if r.kind in ("call", "return")} == {("m1:n1", "m2:entry", "call"), ("m2:exit", "m1:n1", "return")}
