@@ -16,7 +16,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     A round joins the newest level with the edges and keeps what is new, all roots at once; the
     loop ends when a level is empty.
     """
-    e = edges.select("src", "dst").distinct()
+    e = written(edges.select("src", "dst").distinct(), "edges")
     seen = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("level")).distinct(), "closure")
     frontier = seen
     for level in count(1):
@@ -30,7 +30,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def witness_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, level, path): one shortest path each, the smallest predecessor at every step."""
-    e = edges.select("src", "dst").distinct()
+    e = written(edges.select("src", "dst").distinct(), "edges")
     frontier = written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level"), F.col("root").cast("string").alias("path")).distinct(), "paths")
     seen = frontier
     for level in count(1):
@@ -62,8 +62,12 @@ def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
 
 
 def leaves(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """What is reached and has nothing below it."""
-    return reached.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    """What is reached and has nothing below it.
+
+    An anti join would be pushed into each level of ``reached``, and a task would hold the sorts of all levels at once.
+    """
+    goes_on = edges.select(F.col("src").alias("node")).distinct().withColumn("goes_on", F.lit(True))
+    return reached.join(goes_on, "node", "left").where("goes_on IS NULL").drop("goes_on")
 
 
 def invariants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
