@@ -96,3 +96,15 @@ def test_hostile_documents(spark):
     bomb = "a0: &a0 [x, x, x, x, x, x, x, x, x, x]\n" + "".join(f"a{i}: &a{i} [{', '.join([f'*a{i - 1}'] * 10)}]\n" for i in range(1, 12))
     docs = spark.createDataFrame([("bomb", bomb), ("deep", "[" * 5000), ("deeper", "{a: " * 3000 + "1" + "}" * 3000), ("tabs", "a:\n\t- b"), ("null", None), ("ok", "2: x\ntrue: y\n2020-01-01: z")], "path string, content string")
     assert [(r.path, r.content) for r in D.documents(docs).collect()] == [("ok", '{"2": "x", "True": "y", "2020-01-01": "z"}')]
+
+
+def test_documents_are_dealt_out_and_read_once(spark, monkeypatch):
+    plans, written = {}, D.written
+    monkeypatch.setattr(D, "written", lambda df, label: plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString()) or written(df, label))
+    files = spark.createDataFrame([(f"{s}/application.yml", s, 0, False, BASE) for s in range(40)], "path string, service_id long, file_ord int, is_profile boolean, content string").coalesce(1)
+    docs = D.documents(files)
+    settings, _ = D.profile_entries(files.drop("content"), docs, spark.createDataFrame([(1, ["prod"])], "service_id long, profiles array<string>"))
+    assert [(k, len(v), sum(p.count("MapInPandas") for p in v)) for k, v in plans.items()] == [("documents", 1, 1), ("entries", 1, 1)]
+    assert "hashpartitioning(path" in plans["documents"][0] and "REPARTITION_BY_NUM" in plans["documents"][0]
+    assert "MapInPandas" not in settings._jdf.queryExecution().executedPlan().toString()
+    assert settings.where("service_id = 1 AND key = 'server.port'").head().value == "82"
