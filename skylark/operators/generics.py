@@ -142,7 +142,9 @@ def supertypes(types: DataFrame) -> DataFrame:
 
     types: type (qualified), signature, parents (qualified, erased). A written name stands for the parent that ends in it.
     """
-    read = written(types.select("type", "parents", declaration(F.col("signature")).alias("d")), "declared")
+    # dealt out by type, as a small table of many would be read in one task
+    dealt = types.select("type", "parents", "signature").repartition(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), "type")
+    read = written(dealt.select("type", "parents", declaration(F.col("signature")).alias("d")), "declared")
     named = read.where("d IS NOT NULL").select("type", "parents", "d.params", F.posexplode("d.supers").alias("ord", "s")).where(~F.col("s.name").isin(*TOP))
     tail = lambda x: F.substring_index(x, ".", -1)
     match = F.filter("parents", lambda p: (p == F.col("s.name")) | ((tail(p) == tail(F.col("s.name"))) & ~F.contains(F.col("s.name"), F.lit("."))))
@@ -151,6 +153,41 @@ def supertypes(types: DataFrame) -> DataFrame:
     return told.unionByName(blind)
 
 
+#: What an argument stands for: a parameter of the type where a path begins, or a text and the type that wrote it.
+_VALUE = "struct<var:string,text:string,written_in:string>"
+
+
+def _through(values: Column, names: Column, onward: Column) -> Column:
+    """``onward``, which tells of the parameters ``names``, told by the values that those have."""
+    return F.transform(onward, lambda v: F.when(v["var"].isNotNull(), F.get(values, F.array_position(names, v["var"]).cast("int") - 1)).otherwise(v))
+
+
+def _jumps(steps: DataFrame) -> DataFrame:
+    """(type, parent, their, is_marker, values): where the chain of each type with one way up leaves such types, by doubling.
+
+    A round joins each open jump with the jump of the type where it ends, so a chain takes as many rounds as its length
+    has binary digits. Chains that only lead to themselves reach nothing and have no row.
+    """
+    one = steps.groupBy("at").agg(F.count("*").alias("ways")).where("ways = 1").select("at")
+    single = steps.join(one, "at", "left_semi").select(F.col("at").alias("type"), "parent", "their", "is_marker", "values")
+    goes_on = one.select(F.col("at").alias("parent"), F.lit(True).alias("goes_on"))
+    all_ = written(single.join(goes_on, "parent", "left").select("type", "parent", "their", "is_marker", "values", (F.col("is_marker").isNull() & F.col("goes_on").isNotNull()).alias("open")), "jumps")
+    done, front = all_.where("NOT open"), all_.where("open")
+    ends = done
+    while not front.isEmpty():
+        # only jumps at which others end are joined; the nearer the top, the fewer
+        wanted = front.select(F.col("parent").alias("type")).distinct()
+        onward = done.unionByName(front).join(wanted, "type", "left_semi").select(F.col("type").alias("parent"), F.struct("parent", "their", "is_marker", "values", "open").alias("on"))
+        here = front.withColumnsRenamed({"their": "names", "values": "given"})  # a lambda would take a new column for an old one of its name
+        new = here.join(onward, "parent").select("type", "on.parent", "on.their", "on.is_marker", _through(F.col("given"), F.col("names"), F.col("on.values")).alias("values"), "on.open")
+        new = written(new, "jumps")
+        closed = new.where("NOT open")
+        if closed.isEmpty():  # what is open still goes round
+            break
+        ends, done, front = ends.unionByName(closed), done.unionByName(closed), new.where("open")
+    return ends.drop("open")
+
+
 def bindings(types: DataFrame, markers: DataFrame) -> DataFrame:
     """(type, marker, bound, written_in): the first marker that each type reaches up its extends, and the marker's first argument.
 
@@ -158,33 +195,46 @@ def bindings(types: DataFrame, markers: DataFrame) -> DataFrame:
     parameters stand for by position; a type's own parameters stand for nothing. A parameter stands for nothing
     either where the reference is raw or has another number of arguments, and a wildcard binds nothing. ``bound``
     is source text, ``written_in`` the type that wrote it. Cycles end where they close; a type without a marker has no row.
+    Chains of types with one way up are jumped, so only types with several are walked one by one.
     """
     known = written(supertypes(types), "supers")
-    env = "map<string,struct<text:string,written_in:string>>"
     first = types.select("type").distinct()
-    front = written(first.select(F.col("type").alias("root"), F.col("type").alias("at"), F.create_map().cast(env).alias("env"), F.array().cast("array<int>").alias("trail"), F.array("type").alias("seen")), "walk")
     parameters = known.groupBy("type").agg(F.first("params").alias("their")).withColumnRenamed("type", "parent")
     mark = markers.select(F.col("marker").alias("parent"), F.lit(True).alias("is_marker")).distinct()
     project = first.select(F.col("type").alias("parent"), F.lit(True).alias("is_project"))
-    steps = written(known.join(mark, "parent", "left").join(project, "parent", "left").join(parameters, "parent", "left").where("is_marker OR is_project").withColumnRenamed("type", "at"), "steps")
 
     def stands_for(a: Column) -> Column:
         own = (a["kind"] == "exact-var") | ((a["kind"] == "exact-name") & F.array_contains("params", a["text"]))
         exact = a["kind"].isin("exact", "exact-name")
-        return F.when(own, F.try_element_at("env", a["text"])).when(exact, F.struct(a["text"].alias("text"), F.col("at").alias("written_in")))
-
-    found = None
+        none = F.lit(None).cast("string")
+        return F.when(own, F.struct(a["text"].alias("var"), none.alias("text"), none.alias("written_in"))).when(exact, F.struct(none.alias("var"), a["text"].alias("text"), F.col("type").alias("written_in")))
+
+    values = F.transform(F.coalesce("args", F.array().cast(f"array<{_ARGUMENT}>")), stands_for)
+    blank = F.transform("their", lambda _: F.lit(None).cast(_VALUE))
+    steps = known.withColumn("values", values).join(mark, "parent", "left").join(project, "parent", "left").join(parameters, "parent", "left").where("is_marker OR is_project").withColumn("their", F.coalesce("their", F.array().cast("array<string>")))
+    steps = steps.withColumn("values", F.when(F.col("is_marker") | (F.size("values") == F.size("their")), F.col("values")).otherwise(blank))
+    steps = written(steps.select(F.col("type").alias("at"), "ord", "parent", "their", "is_marker", "values"), "steps")
+    jumps = written(_jumps(steps), "chains")
+    several = steps.groupBy("at").agg(F.count("*").alias("ways")).where("ways > 1").select("at")
+    jump = jumps.select(F.col("type").alias("parent"), F.struct("parent", "their", "is_marker", "values").alias("j"))
+    far = steps.join(several, "at", "left_semi").withColumn("up", F.struct("parent", "their", "is_marker", "values")).join(jump, "parent", "left")
+    # a way up from a type with several goes on through the chain that it enters, where it enters one
+    skips = F.col("up.is_marker").isNull() & F.col("j").isNotNull()
+    skipped = F.struct(F.col("j.parent").alias("parent"), F.col("j.their").alias("their"), F.col("j.is_marker").alias("is_marker"), _through(F.col("up.values"), F.col("up.their"), F.col("j.values")).alias("values"))
+    far = written(far.select("at", "ord", F.when(skips, skipped).otherwise(F.col("up")).alias("to")).select("at", "ord", "to.*"), "ways")
+    nowhere = F.array().cast("array<int>")
+    found = jumps.where("is_marker").select(F.col("type").alias("root"), nowhere.alias("trail"), F.col("parent").alias("marker"), F.get("values", F.lit(0)).alias("b"))
+    start = jumps.where("is_marker IS NULL").select(F.col("type").alias("root"), F.col("parent").alias("at"), "their", "values").join(several, "at", "left_semi")
+    own = several.join(parameters.withColumnRenamed("parent", "at"), "at", "left").select(F.col("at").alias("root"), "at", F.coalesce("their", F.array().cast("array<string>")).alias("their")).withColumn("values", blank)
+    front = written(start.select("root", "at", "their", "values").unionByName(own.select("root", "at", "their", "values")).select("*", nowhere.alias("trail"), F.array_distinct(F.array("root", "at")).alias("seen")), "walk")
     while not front.isEmpty():
-        met = front.join(steps, "at").withColumn("trail", F.concat("trail", F.array("ord"))).withColumn("values", F.transform(F.coalesce("args", F.array().cast(f"array<{_ARGUMENT}>")), stands_for))
-        met = written(met, "walk")
-        hit = met.where("is_marker").select("root", "trail", F.col("parent").alias("marker"), F.get("values", F.lit(0)).alias("b"))
-        found = hit if found is None else found.unionByName(hit)
-        their = F.coalesce("their", F.array().cast("array<string>"))
-        values = F.when(F.size("values") == F.size(their), F.col("values")).otherwise(F.transform(their, lambda _: F.lit(None).cast("struct<text:string,written_in:string>")))
-        on = met.where("is_marker IS NULL").where(~F.array_contains("seen", F.col("parent")))
-        on = on.select("root", F.col("parent").alias("at"), F.map_from_arrays(their, values).alias("env"), "trail", F.concat("seen", F.array("parent")).alias("seen"))
+        here = front.select("root", "at", F.col("their").alias("names"), F.col("values").alias("env"), "trail", "seen")
+        met = here.join(far, "at").withColumn("trail", F.concat("trail", F.array("ord"))).withColumn("values", _through(F.col("env"), F.col("names"), F.col("values")))
+        met = written(met.select("root", "parent", "their", "is_marker", "values", "trail", "seen"), "walk")
+        found = found.unionByName(met.where("is_marker").select("root", "trail", F.col("parent").alias("marker"), F.get("values", F.lit(0)).alias("b")))
+        on = met.where("is_marker IS NULL").where(~F.array_contains("seen", F.col("parent"))).select("root", F.col("parent").alias("at"), "their", "values", "trail", F.concat("seen", F.array("parent")).alias("seen"))
         # of several ways of one length to a type the first in order counts
-        front = written(on.groupBy("root", "at").agg(F.min_by(F.struct("env", "trail", "seen"), "trail").alias("s")).select("root", "at", "s.*"), "walk")
+        front = written(on.groupBy("root", "at").agg(F.min_by(F.struct("their", "values", "trail", "seen"), "trail").alias("s")).select("root", "at", "s.*"), "walk")
     best = found.groupBy("root").agg(F.min_by(F.struct("marker", "b"), "trail").alias("f"))
     return best.select(F.col("root").alias("type"), "f.marker", F.col("f.b.text").alias("bound"), F.col("f.b.written_in").alias("written_in"))
 
