@@ -251,9 +251,11 @@ def first_owner(needs: DataFrame, owners: DataFrame) -> DataFrame:
 def binding_entries(rules: DataFrame, config: DataFrame) -> DataFrame:
     """(rule_id, key): a binding prefix's first entry in order, its own or one below it.
 
-    rules: rule_id, prefix; config: ord, key. Entries meet prefixes by equality with one of their own prefixes.
+    rules: rule_id, prefix; config: ord, key. Entries meet prefixes by equality with one of their own prefixes; the first of each
+    prefix is found before rules meet it, so that rules of one prefix are not joined with all of its entries.
     """
     parts = F.split("key", r"\.")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     entries = config.select("ord", "key", F.explode(heads).alias("prefix"))
-    return rules.join(entries, "prefix").groupBy("rule_id").agg(F.min_by("key", "ord").alias("key"))
+    firsts = entries.groupBy("prefix").agg(F.min_by("key", "ord").alias("key"), F.min("ord").alias("ord"))
+    return rules.join(firsts, "prefix").groupBy("rule_id").agg(F.min_by("key", "ord").alias("key"))
