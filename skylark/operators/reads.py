@@ -9,6 +9,7 @@ from skylark.functions import text as X
 from skylark.operators.graph import merged_intervals
 from skylark.operators.reconcile import files_met
 from skylark.operators.stitch import Edges
+from skylark.sources.shared import written
 
 
 def services_with_counts(services: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -41,18 +42,30 @@ def both_ways(edges: Edges) -> DataFrame:
 
 
 def dependencies(edges: Edges) -> DataFrame:
-    """Per service one row for each distinct target, its first call kept."""
-    asked = edges.rows.groupBy("service_id", "state", "at", "path", "guess", "http_verb", "external_host").agg(F.min("call_id").alias("call_id"))
-    ends = edges.reached(asked).groupBy("service_id", "endpoint_id").agg(F.min("call_id").alias("call_id"))
-    hosts = asked.where("external_host IS NOT NULL").groupBy("service_id", "external_host").agg(F.min("call_id").alias("call_id"))
-    ends = ends.select("service_id", F.concat(F.lit("endpoint:"), F.col("endpoint_id").cast("string")).alias("label"), "call_id")
+    """Per service one row for each distinct target, its first call kept.
+
+    A service's calls are numbered in their order, so that the first is the least number; arrays of its calls turn numbers into calls again.
+    """
+    of = edges.rows.where("state = 'endpoint'").withColumn("_s", F.coalesce("service_id", F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_s", "service_id").orderBy(F.asc_nulls_last("call_id"))) - 1
+    of = written(of.select("_s", "service_id", "call_id", "state", "at", "path", "guess", "http_verb", nth.alias("_k")), "numbered")
+    ends = edges.landing(of.drop("call_id"), edges.lists(item=F.collect_list("endpoint_id")), "_s").select("_s", "service_id", "_k", F.explode("ends").alias("endpoint_id"))
+    ends = ends.groupBy("_s", "service_id", "endpoint_id").agg(F.min("_k").alias("_k"))
+    calls = of.groupBy(F.col("_s").alias("_t"), F.col("service_id").isNull().alias("_none"), F.shiftright("_k", 16).alias("_block"))
+    calls = calls.agg(F.array_sort(F.collect_list(F.struct("_k", "call_id"))).alias("_calls"))
+    # one array of 65536 calls holds those of a service as a rule; _s alone is written as a key, so that edges stay where they are
+    met = (F.col("_s") == F.col("_t")) & (F.shiftright("_k", 16) - F.col("_block") + F.abs(F.col("service_id").isNull().cast("int") - F.col("_none").cast("int")) * (1 << 20) == 0)
+    call = F.get("_calls", F.col("_k").bitwiseAND(65535))["call_id"]
+    ends = ends.join(calls.hint("shuffle_hash"), met).select("service_id", F.concat(F.lit("endpoint:"), F.col("endpoint_id").cast("string")).alias("label"), call.alias("call_id"))
+    hosts = edges.rows.where("external_host IS NOT NULL").groupBy("service_id", "external_host").agg(F.min("call_id").alias("call_id"))
     return ends.unionByName(hosts.select("service_id", F.concat(F.lit("host:"), "external_host").alias("label"), "call_id"))
 
 
 def distinct_targets(edges: Edges) -> DataFrame:
     """(service_id, label): the distinct targets of each service, the undetermined as one."""
     asked = edges.rows.select("service_id", "state", "at", "path", "guess", "http_verb", "external_host").distinct()
-    ends = edges.reached(asked).select("service_id", "endpoint_id").distinct().select("service_id", F.concat(F.lit("endpoint:"), F.col("endpoint_id").cast("string")).alias("label"))
+    ends = edges.landing(asked.drop("external_host"), edges.lists(item=F.collect_list("endpoint_id")), "service_id").select("service_id", F.explode("ends").alias("endpoint_id")).distinct()
+    ends = ends.select("service_id", F.concat(F.lit("endpoint:"), F.col("endpoint_id").cast("string")).alias("label"))
     others = asked.where("state <> 'endpoint'").select("service_id", F.coalesce(F.concat(F.lit("host:"), "external_host"), F.lit("undetermined")).alias("label"))
     return ends.unionByName(others.distinct())
 
@@ -158,9 +171,13 @@ def system_graph(edges: Edges, services: DataFrame) -> DataFrame:
     names = services.select(F.col("service_id").alias("target_id"), F.col("name").alias("target"))
     asked = edges.rows.join(callers, "service_id", "left").withColumn("caller", F.coalesce("caller", F.col("service_id").cast("string")))
     asked = asked.groupBy("caller", "state", "at", "path", "guess", "http_verb", "target_kind", "external_host").agg(F.sum("n").alias("_edges"), F.count("*").alias("_calls"))
-    ends = edges.reached(asked).groupBy("caller", "target_id", "target_kind").agg(F.sum("_calls").alias("n")).join(names, "target_id", "left").select("caller", "target", "target_kind", "n")
-    others = asked.where("state <> 'endpoint'").select("caller", F.col("external_host").alias("target"), "target_kind", F.col("_edges").alias("n"))
-    return ends.unionByName(others).groupBy("caller", "target", F.col("target_kind").alias("kind")).agg(F.sum("n").alias("n"))
+    # of each path asked of a name, the endpoints by the name of their service; no other edges are of their kind
+    named = edges.matches.join(names, "target_id", "left").groupBy("at", "path", "guess", "http_method", "target").agg(F.count("*").alias("_ends"), F.min("endpoint_id").alias("endpoint_id"))
+    lists = edges.lists(named, F.collect_list(F.struct("target", "_ends")))
+    ends = edges.landing(asked.drop("external_host", "_edges"), lists, "caller").select("caller", "target_kind", "_calls", F.inline("ends"))
+    ends = ends.groupBy("caller", "target", F.col("target_kind").alias("kind")).agg(F.sum(F.col("_calls") * F.col("_ends")).alias("n"))
+    others = asked.where("state <> 'endpoint'").groupBy("caller", F.col("external_host").alias("target"), F.col("target_kind").alias("kind")).agg(F.sum("_edges").alias("n"))
+    return ends.unionByName(others)
 
 
 def selected_entity(rows: DataFrame, wanted: DataFrame) -> DataFrame:
