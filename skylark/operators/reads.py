@@ -23,14 +23,20 @@ def endpoint_list(endpoints: DataFrame, service_id: int) -> DataFrame:
     return endpoints.where(F.col("service_id") == service_id).select("endpoint_id", "http_method", "uri").orderBy("uri", "http_method", "endpoint_id")
 
 
-def edge_rows(edges: DataFrame, services: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Edges with the caller's and the target's names."""
+def edge_rows(edges: Edges, services: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Edges with the caller's and the target's names.
+
+    Names are joined to calls and to the endpoints that paths land on, and single edges are opened last, by nothing but their calls.
+    """
     caller = services.select("service_id", F.col("name").alias("caller"))
-    target = services.select(F.col("service_id").alias("target_service_id"), F.col("name").alias("target_service"))
-    end = endpoints.select(F.col("endpoint_id").alias("target_endpoint_id"), F.concat_ws(" ", "http_method", "uri").alias("endpoint"))
-    label = F.when(F.col("target_kind") == "endpoint", F.concat_ws(" ", "target_service", "endpoint")).when(F.col("target_kind").isin("external", "placeholder"), F.col("external_host"))
-    joined = edges.join(caller, "service_id", "left").join(target, "target_service_id", "left").join(end, "target_endpoint_id", "left")
-    return joined.select("call_id", "caller", "target_kind", label.alias("target"), "confidence")
+    rows = edges.rows.join(caller, "service_id", "left")
+    target = services.select(F.col("service_id").alias("target_id"), F.col("name").alias("target_service"))
+    end = endpoints.select("endpoint_id", F.concat_ws(" ", "http_method", "uri").alias("endpoint"))
+    matches = edges.matches.join(target, "target_id", "left").join(end, "endpoint_id", "left").withColumn("target", F.concat_ws(" ", "target_service", "endpoint"))
+    ends = edges.landing(rows, edges.lists(matches, F.collect_list("target"))).select("call_id", "caller", "target_kind", F.explode("ends").alias("target"), "confidence")
+    one = rows.where("state = 'none'").select("call_id", "caller", "target_kind", F.col("external_host").alias("target"), "confidence")
+    rest = rows.where("state = 'rest'").select("call_id", "caller", "target_kind", F.lit(None).cast("string").alias("target"), "confidence", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return ends.unionByName(rest.drop("col")).unionByName(one)
 
 
 def both_ways(edges: Edges) -> DataFrame:
@@ -155,7 +161,8 @@ def edges_of(edges: Edges, service_id: int, direction: str) -> DataFrame:
 
 def edges_of_calls(edges: Edges, calls: DataFrame) -> DataFrame:
     """The edges of some calls."""
-    return Edges(edges.rows.join(calls.select("call_id").distinct(), "call_id", "left_semi"), edges.matches, edges.members).full()
+    own = written(edges.rows.join(calls.select("call_id"), "call_id", "left_semi"), "own")
+    return Edges(own, edges.matches, edges.members).full()
 
 
 def outbound(flow_calls: DataFrame, edges: Edges, reports: DataFrame) -> DataFrame:
